@@ -10,8 +10,9 @@ Jaccard similarity of their full sets reaches the threshold.
 2. Documents with equal sets collapse to the smallest id before anything is paired.
 3. Band hashes give buckets. Each representative is compared with one bucket leader, exactly, and connected components
    are formed, so that a group of near copies costs one comparison a document and not one a pair.
-4. In the buckets that still hold several components, the pairs across components are compared by sketch inside blocks
-   (nothing is emitted for pairs that 8-bit coordinates rule out by over five standard deviations), then exactly.
+4. In the buckets that still hold several components, the pairs across components are compared inside blocks: by sketch
+   (8-bit coordinates rule out pairs that are over five standard deviations below the threshold), then by full sets.
+   A block emits the links that join components, never pairs.
 
 Defined cases: null or wordless text has no shingles and links with nothing; rows with a null id link with nothing,
 have a null component and are kept; repeated rows of one id share its component; other columns are ignored.
@@ -192,54 +193,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return x.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("u", "v")
 
 
-_PAIRS = "u long, v long, agree int"
+_LINKS = "u long, v long"
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components that agree often enough, from rows sorted by group; side 0 rows come before side 1 rows."""
-    state: dict = {"key": None, "rows": []}
+def _block_links(num: int, den: int):
+    """Links across components, from rows (bucket, i, j, side, doc_id, comp, sig, bands, shingles) sorted by (bucket, i, j).
 
-    def out(rows):
-        side = np.array([r[0] for r in rows])
-        ids, comp = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
-        us, vs, ns = [], [], []
+    Pairs go from the most alike by sketch to the least, and components that a link has joined are not compared again, so
+    a block gives fewer links than it has components. A pair is compared in the first of its common buckets only.
+    """
+
+    def links(bucket: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        side, ids, comp = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sig = np.stack([r[3] for r in rows])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        found = []
         for i in left:
-            cand = right[(comp[right] != comp[i]) & (ids[right] > ids[i])] if (side[i] == 2) else right[comp[right] != comp[i]]
+            cand = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[right] == 1))]
             if len(cand):
                 n = (sig[cand] == sig[i]).sum(axis=1)
-                ok = n >= LEAST_AGREE
-                us += [ids[i]] * int(ok.sum())
-                vs += ids[cand[ok]].tolist()
-                ns += n[ok].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int32())], names=["u", "v", "agree"])
-
-    for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for bucket, i, j, side, doc, comp, sig in zip(*cols):
-            if (bucket, i, j) != state["key"]:
-                if len(state["rows"]) > 1:
-                    yield out(state["rows"])
-                state = {"key": (bucket, i, j), "rows": []}
-            state["rows"].append((side, doc, comp, sig))
-    if len(state["rows"]) > 1:
-        yield out(state["rows"])
-
-
-def _cross_pairs(buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v, agree) across components, from the buckets with several; a large bucket is dealt in block pairs."""
+                found += [(-int(m), int(i), int(j)) for m, j in zip(n, cand) if m >= LEAST_AGREE]
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        out = []
+        for _, i, j in sorted(found):
+            a, b = top(comp[i]), top(comp[j])
+            if a == b or np.flatnonzero(rows[i][4] == rows[j][4])[0] != np.flatnonzero(rows[i][4] == bucket)[0]:
+                continue
+            x, y = rows[i][5], rows[j][5]
+            if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+                continue
+            at = np.searchsorted(x, y)
+            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+            if both * den >= (len(x) + len(y) - both) * num:
+                out.append((int(ids[i]), int(ids[j])))
+                root[max(a, b)] = min(a, b)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def out():
+            pairs = links(key[0], rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(7)]
+            lists = []
+            for k in (7, 8):
+                off, flat = b.column(k).offsets.to_numpy(), b.column(k).values.to_numpy(zero_copy_only=False)
+                lists.append([flat[lo:hi].copy() for lo, hi in zip(off, off[1:])])
+            for bucket, i, j, side, doc, comp, sig, bands, shingles in zip(*cols, *lists):
+                if (bucket, i, j) != key:
+                    if rows:
+                        yield out()
+                    key, rows = (bucket, i, j), []
+                rows.append((side, doc, comp, np.frombuffer(sig, np.uint8), bands, shingles.view(np.uint64)))
+        if rows:
+            yield out()
+
+    return run
+
+
+def _cross_links(buckets: DataFrame, comps: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) across components, from the buckets with several; a large bucket is dealt in block pairs."""
     m = buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).select("bucket", "doc_id", "comp")
-    mixed = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-    rows = m.join(mixed, "bucket").join(sigs, "doc_id")
-    nb = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("nb", nb).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    m = m.join(sketches.select("doc_id", "n_shingles"), "doc_id")
+    mixed = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo <> hi")
+    rows = m.select("bucket", "doc_id", "comp").join(mixed.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / SLAB)).cast("int").alias("nb")), "bucket")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     # side 2: within one block; 0 and 1: between two blocks
     at = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(k, F.col("g")).alias("i"), F.greatest(k, F.col("g")).alias("j"), F.when(k == F.col("g"), 2).when(F.col("g") < k, 0).otherwise(1).alias("side")))
-    dealt = rows.withColumn("x", F.explode(at)).select("bucket", "x.i", "x.j", "x.side", "doc_id", "comp", "sig")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    pairs = dealt.mapInArrow(_block_pairs, _PAIRS)
-    return pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("agree").alias("agree"))
+    dealt = rows.withColumn("x", F.explode(at)).select("bucket", "x.i", "x.j", "x.side", "doc_id", "comp")
+    dealt = dealt.join(sketches.select("doc_id", "sig", "bands"), "doc_id").join(sets, "doc_id")
+    dealt = dealt.select("bucket", "i", "j", "side", "doc_id", "comp", "sig", "bands", "shingles").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(_block_links(num, den), _LINKS).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
@@ -259,23 +292,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pick = F.broadcast(members) if n <= BROADCAST_IDS else members
     texts = base.join(pick, "doc_id", "left_semi")
     sets = materialise(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
-    sigs = feats.join(pick, "doc_id", "left_semi").select("doc_id", "sig")
+    sketches = feats.join(pick, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", "bands")
     # one leader for each document: the one it meets in most buckets
     stars = buckets.where("doc_id <> lead").groupBy("doc_id", "lead").count()
     best = stars.groupBy("doc_id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
     edges = materialise(_verified(best.select(F.col("doc_id").alias("u"), F.col("lead").alias("v")), sets, num, den), "near-links")
     comps = connected_components(edges)
-    # pairs across components: first the best partner of each document in each other component, then all that are left
-    for every in (False, True):
-        pairs = _cross_pairs(buckets, comps, sigs)
-        if not every:
-            c = comps.select(F.col("node").alias("v"), F.col("root").alias("to"))
-            pairs = pairs.join(c, "v", "left").groupBy("u", F.coalesce("to", "v").alias("to")).agg(F.max_by("v", F.struct("agree", -F.col("v"))).alias("v")).select("u", "v")
-        more = materialise(_verified(pairs.select("u", "v"), sets, num, den), "near-links")
-        if more.isEmpty():
-            continue
-        edges = edges.unionByName(more)
-        comps = connected_components(edges)
+    more = materialise(_cross_links(buckets, comps, sketches, sets, num, den), "near-links")
+    comps = connected_components(edges.unionByName(more))
     members_of = some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = feats.select("doc_id", "n_shingles").join(members_of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
