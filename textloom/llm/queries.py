@@ -4,18 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import near_dedup
+from textloom.llm import chat_format, decontaminate, language_id, near_dedup, quality_classifier, token_count, token_output
 from textloom.llm._common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, formatted and read back."""
+    schema = "conv_id long, turn long, role string, text string"
+    hard = spark.createDataFrame([(-7, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))], schema)
+    turns = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    return chat_format.read_back(chat_format.chat_format(turns.unionByName(hard)))
+
+
+def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids written as ORC and read back."""
+    return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items found in documents, within their error budgets."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    f.__name__: f for f in (op1_chat_format, op2_token_orc, op3_token_counts, op4_decontaminate, op5_minhash_near_dedup, op6_quality_qda, op8_language_id)
 }
 
 ORACLES: dict[str, str] = {}
