@@ -29,6 +29,8 @@ THRESHOLD = 0.3
 POOL, RIDGE = 0.1, 0.02
 #: Bins of log density differences for the logistic fit.
 BIN, LIMIT = 0.5, 100
+#: Added to counts of bytes and words, so that a short text is not an outlier by its length alone.
+PRIOR_BYTES, PRIOR_WORDS = 60, 10
 NAMES = ["words", "word_length", "upper", "digits", "symbols", "bangs", "stops", "commas", "non_ascii", "distinct", "repeats", "dup_lines", "line_words", "long_words", "short_words", "dup_windows"]
 DIM = len(NAMES)
 _CLASS = np.zeros(256, np.int64)
@@ -42,21 +44,20 @@ def statistics(text: str | None) -> np.ndarray:
     """The transformed statistics of one text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
-    n, size = len(words), max(1, len(raw))
+    n, size = len(words), len(raw) + PRIOR_BYTES
     share = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=8) / size
     if share[7]:
         share[1] += len(_UPPER.findall(text)) / size
     lines = [x for x in raw.split(b"\n") if x.strip()]
     lens = np.fromiter(map(len, words), np.int64, n)
-    m = max(1, n)
-    distinct = len(set(words))
-    windows = max(1, n - 2)
+    m = n + PRIOR_WORDS
+    triples = len(set(zip(words, words[1:], words[2:])))
     return np.array(
         [
-            math.log1p(n), math.log1p(lens.sum() / m), *np.sqrt(share[1:8]),
-            math.log1p(distinct) / math.log(n + 2), math.sqrt(sum(map(bytes.__eq__, words, words[1:])) / m),
-            math.sqrt((len(lines) - len(set(lines))) / max(1, len(lines))), math.log1p(n / max(1, len(lines))),
-            math.sqrt((lens > 12).sum() / m), math.sqrt((lens < 4).sum() / m), math.sqrt(1 - len(set(zip(words, words[1:], words[2:]))) / windows if n > 2 else 0.0),
+            math.log(m), math.log((lens.sum() + 5 * PRIOR_WORDS) / m), *np.sqrt(share[1:8]),
+            math.log(len(set(words)) + PRIOR_WORDS) / math.log(m), math.sqrt(sum(map(bytes.__eq__, words, words[1:])) / m),
+            math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 2)), math.log(m / (len(lines) + 2)),
+            math.sqrt((lens > 12).sum() / m), math.sqrt((lens < 4).sum() / m), math.sqrt((max(0, n - 2) - triples) / m),
         ]
     )
 
