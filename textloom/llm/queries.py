@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat_format, decontaminate, language_id, near_dedup, quality_classifier, token_count, token_output
+from textloom.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, token_count, token_output, url_filter
 from textloom.llm._common import table
 
 
@@ -44,13 +44,28 @@ def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), allow=["example.net/en/", "org/fr/"], block=["net/", "example.com/de/"])
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances and verdict of the quality rules for every document."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_token_orc, op3_token_counts, op4_decontaminate, op5_minhash_near_dedup, op6_quality_qda, op8_language_id)
+    f.__name__: f for f in (op1_chat_format, op2_token_orc, op3_token_counts, op4_decontaminate, op5_minhash_near_dedup, op6_quality_qda, op7_url_filter, op8_language_id, op9_source_mix, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
