@@ -4,8 +4,8 @@ Documents are dealt by ranges of their id and sorted, so that the files in name
 document's id, its tokens with the end id, and its offset in its file; the stripes are read in parallel, and a lookup by id
 skips files, stripes and row groups by minimum, maximum and Bloom filter. Offsets over all files come from one row a file.
 
-Texts are cut where the tokenizer's own pattern always cuts, pieces are encoded by the tokenizers library, and a worker
-remembers up to MEMO pieces. A text with characters or control strings for which the cuts aren't proven goes to the
+Texts are cut where the tokenizer's own pattern always cuts, pieces are encoded by the tokenizers library's merges, and a
+worker remembers up to MEMO pieces. A text with characters or control strings for which the cuts aren't proven goes to the
 library as a whole; both ways give the same ids.
 
 Defined cases: null text is empty (the end id alone); documents with equal ids keep all their rows, ordered by a hash of the
@@ -27,45 +27,78 @@ from pyspark.sql import functions as F
 from textloom.llm._common import new_path, ship
 from textloom.llm.token_count import tokenizer
 
-MEMO = 300_000
+MEMO = 700_000
 #: Tokens in one batch of output, which bounds a worker's memory.
 SLAB = 2_000_000
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts of these characters only are cut into pieces; for them the pattern below cuts as the tokenizer's does.
 PROVEN = re.compile(f"[ -~\n{_L}¡¿«»–—‘’“”…]*")
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \n{_L}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
+PIECE = re.compile(rf" ?[{_L}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^ \n{_L}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the others
+    for the code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
+class _Numbers(dict):
+    """Piece numbers; a missing piece gets the next one."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Pieces:
     """The ids of pieces, remembered: piece number by string, and all numbers' ids in one array."""
 
     def __init__(self, tok):
-        self.tok, self.at = tok, {}
-        self.lens, self.ids = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.tok, self.at = tok, _Numbers()
+        self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self.lens, self.starts, self.ids = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def one(self, piece: str) -> list[int]:
+        """The library's merges for a piece that its pattern doesn't cut."""
+        return [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))]
+
+    def _learn(self) -> None:
+        got = [self.one(p) for p in self.at.new]
+        self.at.new.clear()
+        self.lens = np.concatenate([self.lens, np.array([len(g) for g in got], np.int32)])
+        self.ids = np.concatenate([self.ids, np.array([x for g in got for x in g], np.int32)])
+        self.starts = np.cumsum(self.lens, dtype=np.int32) - self.lens
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) >= MEMO:
             self.__init__(self.tok)
-        special = [s for s in self.tok.get_added_tokens_decoder().values()]
-        special = [s.content for s in special]
-        cut = [None if not PROVEN.fullmatch(t) or any(s in t for s in special) else PIECE.findall(t) for t in texts]
-        new = [p for p in dict.fromkeys(p for c in cut if c for p in c) if p not in self.at]
-        if new:
-            got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.lens = np.concatenate([self.lens, np.array([len(g) for g in got], np.int64)])
-            self.ids = np.concatenate([self.ids, np.array([x for g in got for x in g], np.int32)])
-            self.starts = np.cumsum(self.lens) - self.lens
+        number, cuts = self.at.__getitem__, []
+        for t in texts:
+            if PROVEN.fullmatch(t) and not any(s in t for s in self.special):
+                c = PIECE.findall(t)
+                cuts.append(np.fromiter(map(number, c), np.int32, len(c)))
+            else:
+                cuts.append(None)
+        if self.at.new:
+            self._learn()
         out = []
-        for t, c in zip(texts, cut):
-            if c is None:
+        for t, n in zip(texts, cuts):
+            if n is None:
                 out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32))
-            elif not c:
+            elif not len(n):
                 out.append(np.empty(0, np.int32))
             else:
-                n = np.array(list(map(self.at.__getitem__, c)))
                 lens = self.lens[n]
                 ends = np.cumsum(lens)
                 out.append(self.ids[np.repeat(self.starts[n] - (ends - lens), lens) + np.arange(ends[-1])])
