@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ ASCII_SPACE = " \t\n\x0b\f\r"
 #: A maximal run of anything else, for Java's and DuckDB's regular expressions.
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 
+#: Rows in an Arrow batch to and from Python, where the session leaves it at Spark's 10000: long texts fill memory.
+ARROW_ROWS = 2000
+
 _RUN = uuid.uuid4().hex[:12]
 _SHIPPED: set[str] = set()
 
@@ -58,8 +62,25 @@ def release(df: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, forget: Callable[[], None]) -> None:
+    """Register what a worker process remembers under a name."""
+    _HELD[name] = forget
+
+
+def claim(name: str) -> None:
+    """In a worker that begins the work of one operator: let the others' memory go. Workers outlive stages."""
+    for other, forget in _HELD.items():
+        if other != name:
+            forget()
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark application."""
+    """Give the executors this package, once for each Spark application; bound the rows of Arrow batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import ship
+from textloom.llm._common import claim, ship
 
 RATE = 0.05
 BLOCK_BYTES = 4 << 20
@@ -136,6 +136,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: st
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            claim("decontaminate")
             m = Matcher(sent.value, rate)
             for b in batches:
                 rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1)) for x in m.leaks(t.as_py())]
@@ -154,6 +155,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            claim("decontaminate")
             m = Matcher(sent.value, rate)
             for b in batches:
                 clean = [not m.leaks(t.as_py()) for t in b.column(b.schema.get_field_index(text_col))]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import materialise, ship
+from textloom.llm._common import claim, holds, materialise, ship
 
 T, ROWS = 200, 5
 BANDS = T // ROWS
@@ -56,6 +56,7 @@ class _WordHash(dict):
 
 
 _HASH = _WordHash()
+holds("near_dedup", _HASH.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,6 +141,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_shingles", "k1", "k2", "bands", "sig"],
         )
 
+    claim("near_dedup")
     for b in batches:
         ids, sets, n = [], [], 0
         for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -155,6 +157,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup")
     for b in batches:
         for lo in range(0, b.num_rows, 500):
             part = b.slice(lo, 500)

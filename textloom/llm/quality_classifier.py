@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import crc_mod, materialise, ship
+from textloom.llm._common import claim, crc_mod, materialise, ship
 
 THRESHOLD = 0.3
 #: Shares of the pooled covariance and of the scaled identity in a class's covariance.
@@ -63,6 +63,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("quality_classifier")
     for b in batches:
         x = [statistics(t.as_py()) for t in b.column(1)]
         if x:

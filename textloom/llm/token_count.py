@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import ship
+from textloom.llm._common import claim, holds, ship
 
 CHUNK, OVERLAP, RUN = 16_384, 512, 4
 MEMO = 400_000
@@ -106,6 +106,7 @@ class _Counts(dict):
 
 
 _MEMO: dict[str, _Counts] = {}
+holds("token_count", _MEMO.clear)
 
 
 def count_tokens(path: str, text: str) -> int:
@@ -121,6 +122,7 @@ def count_tokens(path: str, text: str) -> int:
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_count")
         for b in batches:
             n_bytes, n = [], []
             for x in b.column(1):

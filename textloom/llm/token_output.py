@@ -14,6 +14,7 @@ text; a null id sorts first; an empty table writes no rows; other columns are ig
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._common import new_path, ship
+from textloom.llm._common import claim, holds, new_path, ship
 from textloom.llm.token_count import tokenizer
 
 MEMO = 700_000
@@ -74,7 +75,9 @@ class Pieces:
         return [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))]
 
     def _learn(self) -> None:
+        gc.disable()  # millions of short lists and no cycles
         got = [self.one(p) for p in self.at.new]
+        gc.enable()
         self.at.new.clear()
         self.lens = np.concatenate([self.lens, np.array([len(g) for g in got], np.int32)])
         self.ids = np.concatenate([self.ids, np.array([x for g in got for x in g], np.int32)])
@@ -106,11 +109,13 @@ class Pieces:
 
 
 _MEMO: dict[str, Pieces] = {}
+holds("token_output", _MEMO.clear)
 
 
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _MEMO.setdefault(path, Pieces(tokenizer(path)))
+        claim("token_output")
+        pieces = _MEMO.get(path) or _MEMO.setdefault(path, Pieces(tokenizer(path)))
         part, at = TaskContext.get().partitionId(), 0
 
         def rows(ids, toks):
