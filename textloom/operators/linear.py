@@ -18,13 +18,14 @@ def cross_products(df: DataFrame, x: str, y: str) -> dict[str, np.ndarray]:
         acc = None
         for p in parts:
             if len(p):
-                a, b = np.stack(p[x].to_numpy()).astype(float), np.stack(p[y].to_numpy()).astype(float)
+                a, b = np.stack(p["_x"].to_numpy()).astype(float), np.stack(p["_y"].to_numpy()).astype(float)
                 one = [np.array([float(len(p))]), a.sum(0), b.sum(0), (a.T @ b).ravel(), (a.T @ a).ravel(), (b.T @ b).ravel()]
                 acc = one if acc is None else [u + v for u, v in zip(acc, one)]
         if acc is not None:
             yield pd.DataFrame([(k, i, float(v)) for k, m in enumerate(acc) for i, v in enumerate(m)], columns=["k", "i", "v"])
 
-    rows = df.select(x, y).mapInPandas(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    df = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    rows = df.mapInPandas(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     got: dict[int, dict[int, float]] = {}
     for r in rows:
         got.setdefault(r["k"], {})[r["i"]] = r["v"]

@@ -88,7 +88,7 @@ def condition_ratios(df: DataFrame, relative: str, layer: str, groups: list[str]
     w = _w(groups, layer)
     first = F.first(relative).over(w.rowsBetween(Window.unboundedPreceding, 0))
     before = F.lag(relative).over(w)
-    return df.withColumn("cumulative", F.col(relative) / F.greatest(first, F.lit(1e-12))).withColumn("incremental", F.coalesce(F.col(relative) / F.greatest(before, F.lit(1e-12)), F.lit(1.0)))
+    return df.withColumn("cumulative", F.col(relative) / F.greatest(first, F.lit(1e-12))).withColumn("incremental", F.when(before.isNull(), F.lit(1.0)).otherwise(F.col(relative) / F.greatest(before, F.lit(1e-12))))
 
 
 def running_best(x: str, order: str, groups: list[str] | None = None) -> Column:

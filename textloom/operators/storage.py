@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -14,3 +15,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
         sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in storage that all executors share: below spark.checkpoint.dir, or a temporary folder where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "textloom-scratch")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> str:
+    """Write one small text file into whatever store the path is in."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
