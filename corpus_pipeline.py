@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, mixing, near_dedup, quality_classifier, token_output
-from textloom.llm._common import materialise, table
+from textloom.llm._common import materialise, release, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate group: the one with the smallest id. Rows with a null id stay; of rows that
     repeat an id one stays."""
     groups = materialise(near_dedup.near_duplicates(docs), "pipeline-groups")
-    out = docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(groups.where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = materialise(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeats")
     if not twice.isEmpty():
         once = out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)  # only tables of this run's own folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._common import WORD_RUN, materialise, ship
+from textloom.llm._common import WORD_RUN, materialise, release, ship
 
 BLOCK, SHARD_WORDS, CAP = 128, 1 << 20, 3
 SEED = 20_240_601
@@ -131,11 +131,13 @@ def mix_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
     that repeat a document are each taken as often as the one of them that is taken most."""
     ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    m = _mixed(materialise(d, "mix-sizes"), seed)
+    sizes = materialise(d, "mix-sizes")
+    m = _mixed(sizes, seed)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("taken") / F.col("size")) + F.when(draw < F.col("taken") / F.col("size") - F.floor(F.col("taken") / F.col("size")), 1).otherwise(0)
     plan = materialise(m.where("size > 0").select("doc_id", "source", "size", copies.alias("copies")).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-plan")
+    release(sizes)
     own = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("_size") == F.col("p.size"))
-    out = own.join(plan.alias("p"), on).withColumn("_copy", F.explode(F.expr("sequence(1, p.copies)")))
+    out = own.join(plan.hint("merge").alias("p"), on).withColumn("_copy", F.explode(F.expr("sequence(1, p.copies)")))
     return out.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import claim, holds, materialise, ship
+from textloom.llm._common import claim, holds, materialise, release, ship
 
 T, ROWS = 200, 5
 BANDS = T // ROWS
@@ -179,7 +179,8 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = materialise(small, name)
+        old, e = e, materialise(small, name)
+        release(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == last:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
@@ -302,7 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = materialise(_verified(best.select(F.col("doc_id").alias("u"), F.col("lead").alias("v")), sets, num, den), "near-links")
     comps = connected_components(edges)
     more = materialise(_cross_links(buckets, comps, sketches, sets, num, den), "near-links")
-    comps = connected_components(edges.unionByName(more))
+    first, comps = comps, connected_components(edges.unionByName(more))
+    for done in (first, buckets, members, sets, edges, more):
+        release(done)
     members_of = some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = feats.select("doc_id", "n_shingles").join(members_of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

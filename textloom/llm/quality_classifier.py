@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import claim, crc_mod, materialise, ship
+from textloom.llm._common import claim, crc_mod, materialise, release, ship
 
 THRESHOLD = 0.3
 #: Shares of the pooled covariance and of the scaled identity in a class's covariance.
@@ -183,6 +183,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: flo
     """The rows of docs, with all their columns, that the classifier accepts; its training rows are docs' own."""
     feats = materialise(document_statistics(docs).join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "quality-statistics")
     model = fit(train_rows(feats, labels, folds))
+    release(feats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
