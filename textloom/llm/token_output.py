@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from textloom.llm._common import claim, holds, new_path, ship
 from textloom.llm.token_count import tokenizer
 
-MEMO = 700_000
+MEMO = 1_300_000
 #: Tokens in one batch of output, which bounds a worker's memory.
 SLAB = 2_000_000
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -103,8 +103,10 @@ class Pieces:
                 out.append(np.empty(0, np.int32))
             else:
                 lens = self.lens[n]
-                ends = np.cumsum(lens)
-                out.append(self.ids[np.repeat(self.starts[n] - (ends - lens), lens) + np.arange(ends[-1])])
+                ends = np.cumsum(lens, dtype=np.int32)
+                at = np.repeat(self.starts[n] - (ends - lens), lens)
+                at += np.arange(ends[-1], dtype=np.int32)
+                out.append(self.ids[at])
         return out
 
 
@@ -132,8 +134,8 @@ def _encoder(path: str, end_id: int):
 
         for b in batches:
             lo, size, texts = 0, 0, []
-            for i, x in enumerate(b.column(1)):
-                texts.append(x.as_py() or "")
+            for i, x in enumerate(b.column(1).to_pylist()):
+                texts.append(x or "")
                 size += len(texts[-1]) + 1
                 if size >= SLAB or i == b.num_rows - 1:
                     yield rows(b.column(0).slice(lo, i + 1 - lo), pieces.encode(texts))
