@@ -129,6 +129,8 @@ def test_pieces_and_counts_equal_the_library():
     x = ["".join(rnd.choices(ALPHABET, k=rnd.randint(0, 40))) for _ in range(3000)]
     byte, word = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
     assert [a.tolist() for a in token_output.Pieces(byte).encode(x)] == [e.ids for e in byte.encode_batch(x, add_special_tokens=False)]
+    plain = ["".join(rnd.choices([" ", "\n", "  ", "a", "the", "é,", "9", "'s", "!"], k=rnd.randint(0, 30))) for _ in range(6000)]
+    assert [a.tolist() for a in token_output.Pieces(byte).encode(plain)] == [e.ids for e in byte.encode_batch(plain, add_special_tokens=False)]
     assert [token_count.count_tokens(P.path("word_bpe_49k.json"), t) for t in x] == [len(e.ids) for e in word.encode_batch(x, add_special_tokens=False)]
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from textloom.llm._common import claim, holds, new_path, ship
 from textloom.llm.token_count import tokenizer
 
-MEMO = 1_300_000
+MEMO = 1_000_000
 #: Tokens in one batch of output, which bounds a worker's memory.
 SLAB = 2_000_000
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -72,7 +72,8 @@ class Pieces:
 
     def one(self, piece: str) -> list[int]:
         """The library's merges for a piece that its pattern doesn't cut."""
-        return [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))]
+        plain = piece.isascii() and "\n" not in piece
+        return [t.id for t in self.tok.model.tokenize(piece.replace(" ", "Ġ") if plain else piece.encode().decode("latin-1").translate(LETTERS))]
 
     def _learn(self) -> None:
         gc.disable()  # millions of short lists and no cycles
