@@ -3,7 +3,7 @@
 1. Sources get targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share the words of all documents by
    weight; a target stops at CAP times its source's words, and the excess is shared anew until none is above.
 2. A source's documents are dealt to shards of about SHARD_WORDS words by a hash of the id, so that no window holds a hot
-   source. The words of a shard, in a seeded order of its documents, are cut into blocks of BLOCK words.
+   source. The words of a shard, in a seeded order of its documents, are cut into equal blocks of about BLOCK words.
 3. Sainte-Laguë's method gives sources, then each source's shards, integer numbers of blocks by highest quotients.
 4. A shard with q blocks to take from its n takes every block floor(q / n) times, and q mod n of them once more: those at
    the first places of a seeded permutation, which needs no list of blocks.
@@ -75,16 +75,16 @@ def targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def _source_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Blocks to take of each source, from one row a source: its target in blocks of its own mean size."""
     pdf = pdf.sort_values("rank")
-    seats = round(pdf.target.sum() / BLOCK)
-    most = [CAP * -(-int(s) // BLOCK) for s in pdf.source_size]
-    return pdf.assign(blocks=sainte_lague(pdf.target.tolist(), seats, most))[["rank", "blocks"]]
+    wanted = (pdf.target * pdf.n / pdf.source_size.clip(lower=1)).tolist()
+    return pdf.assign(blocks=sainte_lague(wanted, round(sum(wanted)), [CAP * int(n) for n in pdf.n]))[["rank", "blocks"]]
 
 
 def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("shard")
-    most = [CAP * -(-int(s) // BLOCK) for s in pdf.shard_size]
-    return pdf.assign(quota=sainte_lague(pdf.shard_size.astype(float).tolist(), int(pdf.blocks.iloc[0]), most))[["rank", "shard", "quota"]]
+    pdf["quota"] = sainte_lague(pdf.n.astype(float).tolist(), int(pdf.blocks.iloc[0]), [CAP * int(n) for n in pdf.n])
+    return pdf[["rank", "shard", "shard_size", "n", "quota"]]
 
 
 def word_count(text):
@@ -98,22 +98,27 @@ def _mixed(d: DataFrame, seed: int) -> DataFrame:
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long")
     d = d.join(t.withColumn("shards", shards), d["source"].eqNullSafe(t["source"])).drop(t["source"])
     d = d.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("shard", F.pmod(F.col("h"), F.col("shards")))
-    quotas = t.groupBy().applyInPandas(_source_quotas, "rank int, blocks long")
-    cells = d.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size")).join(quotas, "rank")
-    cells = cells.groupBy("rank").applyInPandas(_shard_quotas, "rank int, shard long, quota long")
-    w = Window.partitionBy("rank", "shard").orderBy("h", "doc_id")
-    d = d.withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.ceil(F.sum("size").over(Window.partitionBy("rank", "shard")) / BLOCK))
-    d = d.withColumn("start", F.col("end") - F.col("size")).join(cells, ["rank", "shard"])
+    cells = d.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"))
+    cells = cells.withColumn("n", F.when(F.col("shard_size") > 0, F.greatest(F.lit(1), F.round(F.col("shard_size") / BLOCK))).otherwise(0).cast("long"))
+    per = cells.groupBy("rank").agg(F.sum("n").alias("n")).join(t.select("rank", "source_size", "target"), "rank")
+    quotas = per.groupBy().applyInPandas(_source_quotas, "rank int, blocks long")
+    cells = cells.join(quotas, "rank").groupBy("rank").applyInPandas(_shard_quotas, "rank int, shard long, shard_size long, n long, quota long")
+    before = Window.partitionBy("rank", "shard").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("end", F.sum("size").over(before)).withColumn("start", F.col("end") - F.col("size")).join(cells, ["rank", "shard"])
     cell = F.xxhash64("rank", "shard", F.lit(seed + 1))
     d = d.withColumn("step", F.element_at(F.array(*[F.lit(s) for s in STEPS]).cast("array<long>"), (1 + F.pmod(cell, F.lit(len(STEPS)))).cast("int")))
     d = d.withColumn("shift", F.pmod(F.shiftright(cell, 8), F.col("n"))).withColumn("each", F.floor(F.col("quota") / F.col("n"))).withColumn("more", F.pmod(F.col("quota"), F.col("n")))
 
+    # block b of a shard of S words holds the words from floor(b S / n) on
+    edge = lambda b: F.floor(b * F.col("shard_size") / F.col("n"))
+    block_of = lambda x: F.floor(((x + 1) * F.col("n") - 1) / F.col("shard_size"))
+
     def overlap(b):
-        words = F.least(F.col("end"), (b + 1) * BLOCK) - F.greatest(F.col("start"), b * BLOCK)
+        words = F.least(F.col("end"), edge(b + 1)) - F.greatest(F.col("start"), edge(b))
         place = F.pmod(b * F.pmod(F.col("step"), F.col("n")) + F.col("shift"), F.col("n"))
         return words * F.least(F.lit(CAP).cast("long"), F.col("each") + F.when(place < F.col("more"), 1).otherwise(0))
 
-    blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))
+    blocks = F.sequence(block_of(F.col("start")), block_of(F.col("end") - 1))
     taken = F.when(F.col("size") > 0, F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, b: acc + overlap(b))).otherwise(F.lit(0))
     return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "h")
 
