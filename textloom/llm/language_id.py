@@ -75,7 +75,7 @@ class OneVersusOne:
         for i, j in self.pairs:
             own = (y == self.classes[i]) | (y == self.classes[j])
             w.append(svm(x[own], np.where(y[own] == self.classes[i], 1.0, -1.0)))
-        self.w = np.array(w).reshape(len(w), -1)
+        self.w = np.stack(w) if w else np.empty((0, DIM + 1))
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         if not self.pairs:
