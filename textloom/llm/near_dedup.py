@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     feats = materialise(base.mapInArrow(_features, _FEATURES), "near-features")
     some = feats.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # stored, so that both sides of the joins are shuffled and a key of many copies can be split
+    classes = materialise(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = some.join(classes, ["k1", "k2"]).where("doc_id = rep").select("doc_id", "bands")
     flat = reps.select("doc_id", F.explode("bands").alias("bucket"))
     multi = flat.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("most")).where("lead <> most").select("bucket", "lead")
