@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, token_count, token_output, url_filter
+from textloom.llm import chat_format, decontaminate, language_id, mixing, near_dedup, oracles, quality_classifier, quality_rules, token_count, token_output, url_filter
 from textloom.llm._common import table
 
+#: The rules of the URL query.
+ALLOW, BLOCK = ["example.net/en/", "org/fr/"], ["net/", "example.com/de/"]
+
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, formatted and read back."""
@@ -46,7 +50,7 @@ def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
-    return url_filter.url_filter(table(spark, sf_dir, "pages"), allow=["example.net/en/", "org/fr/"], block=["net/", "example.com/de/"])
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), ALLOW, BLOCK).withColumn("score", F.round("score", 6))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +65,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, distances and verdict of the quality rules for every document."""
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "common_distance")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_token_orc, op3_token_counts, op4_decontaminate, op5_minhash_near_dedup, op6_quality_qda, op7_url_filter, op8_language_id, op9_source_mix, op10_quality_rules)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_format": oracles.CHAT_FORMAT, "op5_minhash_near_dedup": oracles.NEAR_DEDUP, "op7_url_filter": oracles.url_filter(ALLOW, BLOCK), "op10_quality_rules": oracles.QUALITY_RULES}
