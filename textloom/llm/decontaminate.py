@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm._common import claim, ship
 
-RATE = 0.05
+RATE = 0.08
 BLOCK_BYTES = 4 << 20
 #: ASCII other than letters and digits becomes a space; bytes of longer characters stay.
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
