@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.operators import dedup as dd
 from textloom.operators import mix as mx
+from textloom.operators.storage import checkpointed
 from textloom.registry import query, read
 
 WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
@@ -158,7 +159,8 @@ def reasons(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source, h, est and the reason of the first rule that rejects a document's cleaned text."""
     x = docs(spark, d).select("doc_id", "source", "lang", tx.clean_lines("text").alias("text"))
     reason = F.when(F.col("lang") != "en", "language").when(tx.has_brace("text") | tx.has_placeholder("text"), "document").when(~tx.passes_length("text"), "length").when(~tx.passes_quality("text"), "quality").when(F.size(tx.sentences("text")) < 3, "sentences")
-    return x.select("doc_id", "source", F.md5("text").alias("h"), reason.alias("reason"), tx.estimated_tokens("text").alias("est"))
+    # cut here: filters on the reason would otherwise move below and clean each text once more for every rule
+    return checkpointed(x.select("doc_id", "source", F.md5("text").alias("h"), reason.alias("reason"), tx.estimated_tokens("text").alias("est")))
 
 
 @query("l03_clean_pipeline", f"select doc_id, case when reason is null and row_number() over (partition by reason is null, h order by doc_id) > 1 then 'exact' else reason end reason from ({STAGES})")
