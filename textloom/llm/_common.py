@@ -6,12 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import shipping
+
 #: The separators of the word rule: space and the control characters 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\f\r"
 #: A maximal run of anything else, for Java's and DuckDB's regular expressions.
@@ -21,7 +22,6 @@ WORD_RUN = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 2000
 
 _RUN = uuid.uuid4().hex[:12]
-_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,19 +81,7 @@ def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark application; bound the rows of Arrow batches."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="textloom-"), "textloom_code.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    p = os.path.join(folder, n)
-                    z.write(p, os.path.join("textloom", os.path.relpath(p, top)))
-    spark.sparkContext.addPyFile(out)
+    shipping.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
