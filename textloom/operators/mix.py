@@ -65,9 +65,9 @@ def batches(df: DataFrame, order: list, size: int, cap: int | None = None, drop_
 def epochs(df: DataFrame, key: str, size: int, n_epochs: int, seed: int) -> DataFrame:
     """(epoch, batch_id, rows): a seeded permutation for each epoch, its ragged tail dropped."""
     x = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1)))).withColumn("h", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.col("epoch").cast("string"), F.lit(str(seed)))))
-    w = Window.partitionBy("epoch")
-    x = x.withColumn("_i", F.row_number().over(w.orderBy("h", key)) - 1).withColumn("_n", F.count("*").over(w))
-    return x.where(F.col("_i") < F.floor(F.col("_n") / size) * size).withColumn("batch_id", F.floor(F.col("_i") / size)).drop("_i", "_n", "h")
+    n = df.count()  # every epoch has all rows
+    x = exclusive_sum(x.withColumn("_one", F.lit(1).cast("long")), "_one", ["epoch"], ["h", key], "_i")
+    return x.where(F.col("_i") < n // size * size).withColumn("batch_id", F.floor(F.col("_i") / size)).drop("_i", "_one", "h")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -86,8 +86,10 @@ def even_stride(df: DataFrame, order: list[str], k: int) -> DataFrame:
 
 def strata(df: DataFrame, group: str, loss: str, key: str, cuts: tuple[float, float] = (0.1, 0.8)) -> DataFrame:
     """Adds percent (rank of the loss inside its group) and stratum: easy, core or hard."""
-    p = F.percent_rank().over(Window.partitionBy(group).orderBy(loss, key))
-    x = df.withColumn("percent", p)
+    # the order is total, so a rank is a row number, and no window holds a whole group
+    x = exclusive_sum(df.withColumn("_one", F.lit(1).cast("long")), "_one", [group], [loss, key], "_i")
+    n = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    x = x.join(n, F.col(group).eqNullSafe(F.col("_g"))).withColumn("percent", F.when(F.col("_n") > 1, F.col("_i") / (F.col("_n") - 1)).otherwise(0.0)).drop("_one", "_i", "_n", "_g")
     return x.withColumn("stratum", F.when(F.col("percent") < cuts[0], "easy").when(F.col("percent") < cuts[1], "core").otherwise("hard"))
 
 
@@ -97,7 +99,7 @@ def quotas(df: DataFrame, group: str, key: str, per: dict[str, int], seed: int)
     limit = F.lit(0)
     for s, n in per.items():
         limit = F.when(F.col("stratum") == s, n).otherwise(limit)
-    return x.where(F.col("_rn") <= limit).drop("_rn")
+    return x.where(F.col("_rn") <= max(per.values(), default=0)).where(F.col("_rn") <= limit).drop("_rn")  # the constant bound limits each task's rows
 
 
 def progressive_lengths(n: int, step: int = 2) -> list[int]:
