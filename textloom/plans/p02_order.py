@@ -245,7 +245,7 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
 @query("u07_shingle_jaccard", f"""with s as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) g from ({BASE}) where doc_id < 120) select a.doc_id a, b.doc_id b,
   round(len(list_intersect(a.g, b.g))::double / greatest(len(list_distinct(list_concat(a.g, b.g))), 1), 6) jaccard from s a join s b on a.doc_id < b.doc_id where len(list_intersect(a.g, b.g)) > 0""")
 def shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    s = docs(spark, d).where("doc_id < 120").select("doc_id", F.array_distinct(tx.joined_ngrams(tx.words("text"), 3)).alias("g")).withColumn("n", F.size("g"))
+    s = docs(spark, d).select("doc_id", F.array_distinct(tx.joined_ngrams(tx.words("text"), 3)).alias("g")).withColumn("n", F.size("g"))
     post = s.select("doc_id", "n", F.explode("g").alias("x"))  # an inverted index, not all pairs
     a, b = post.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "x"), post.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "x")
     j = a.join(b, "x").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
