@@ -1,6 +1,8 @@
 """Registered queries give results for all rows of their tables, against brute force on rows of any id."""
 
 import random
+import re
+from collections import Counter
 
 from textloom import registry
 
@@ -24,3 +26,13 @@ def test_shingle_jaccard_all_documents(spark, tmp_path):
     want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
     got = run(spark, tmp_path, "u07_shingle_jaccard", "documents", docs, "doc_id long, text string, lang string")
     assert {(r.a, r.b): r.jaccard for r in got} == want and len(got) == len(want) and max(b for _, b in want) == 5000
+
+
+def test_domain_ngrams_all_english_documents(spark, tmp_path):
+    docs = documents(60, 2, "alpha beta The gamma x of delta2 Été".split(), "en fr")
+    count = Counter()
+    for _, t, lang in docs:
+        w = [x for x in re.findall("[a-zà-ÿ]+", t.lower()) if len(x) > 1 and x not in ("the", "of", "and")] if lang == "en" else []
+        count.update(" ".join(w[k : k + 3]) for k in range(len(w) - 2))
+    got = run(spark, tmp_path, "f12_domain_ngrams", "documents", docs, "doc_id long, text string, lang string")
+    assert {r.gram: r.n for r in got} == {g: n for g, n in count.items() if n >= 2} and len(got) > 20

@@ -176,7 +176,7 @@ def prefix_split(spark: SparkSession, d: str) -> DataFrame:
   from documents where lang = 'en' and doc_id < 200)) group by g having count(*) >= 2""")
 def domain_ngrams(spark: SparkSession, d: str) -> DataFrame:
     t = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0)), lambda x: (F.length(x) > 1) & ~x.isin("the", "of", "and"))
-    x = docs(spark, d).where("lang = 'en' and doc_id < 200").select(F.explode(tx.joined_ngrams(t, 3)).alias("gram"))
+    x = docs(spark, d).where("lang = 'en'").select(F.explode(tx.joined_ngrams(t, 3)).alias("gram"))
     return x.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2")
 
 
