@@ -4,7 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from textloom import registry
+from textloom.operators import blocks, cluster
 
 import __spark_entry__  # noqa: F401
 
@@ -36,3 +40,58 @@ def test_domain_ngrams_all_english_documents(spark, tmp_path):
         count.update(" ".join(w[k : k + 3]) for k in range(len(w) - 2))
     got = run(spark, tmp_path, "f12_domain_ngrams", "documents", docs, "doc_id long, text string, lang string")
     assert {r.gram: r.n for r in got} == {g: n for g, n in count.items() if n >= 2} and len(got) > 20
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    """Rows (vec_id, embedding, label) of ids up to 2000 with copies, a label of one row, and their cosines and distances."""
+    rnd = np.random.default_rng(5)
+    v = rnd.normal(size=(150, 6)).astype(np.float32)
+    v[100:112] = v[0]
+    rows = [(i * 13, v[i].tolist(), 9 if i == 149 else i % 4) for i in range(150)]
+    x = v.astype(float)
+    n = np.sqrt((x * x).sum(1))
+    return rows, (x @ x.T) / np.outer(n, n), np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+
+
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
+
+
+@pytest.mark.parametrize("size", [16, 512])
+def test_embedding_pairs_all_rows(spark, tmp_path, vectors, monkeypatch, size):
+    monkeypatch.setattr(blocks, "ROWS", size)
+    rows, cos, dist = vectors
+    label = np.array([r[2] for r in rows])
+    want = {}
+    for i in range(150):
+        by = {c: dist[i][own].mean() for c in set(label) if (own := (label == c) & (np.arange(150) != i)).any()}
+        a, b = by.get(label[i]), min(m for c, m in by.items() if c != label[i])
+        want[i * 13] = 0.0 if a is None else (b - a) / max(a, b)
+    got = run(spark, tmp_path / "n04", "n04_silhouette", "embeddings", rows, EMBEDDINGS)
+    assert {r.vec_id: r.silhouette for r in got} == pytest.approx(want, abs=2e-6) and len(got) == 150
+
+    s = np.where(np.eye(150, dtype=bool), 0.0, cos).ravel()
+    r = run(spark, tmp_path / "h11", "h11_pair_statistics", "embeddings", rows, EMBEDDINGS)[0]
+    assert [r.mean, r.median, r.p10, r.p90, r.min, r.max] == pytest.approx([s.mean(), *np.quantile(s, [0.5, 0.1, 0.9]), s.min(), s.max()], abs=2e-6)
+
+    got = run(spark, tmp_path / "n02", "n02_g08_cosine_pairs", "embeddings", rows, EMBEDDINGS)
+    want = {(i * 13, j * 13): cos[i, j] for i in range(150) for j in range(i + 1, 150) if label[i] == label[j]}
+    assert {(r.a, r.b): r.s for r in got} == pytest.approx(want, abs=2e-6) and len(got) == len(want)
+
+    cover, want = np.zeros(150), []
+    for _ in range(5):
+        gain = np.maximum(np.maximum(cos, 0) - cover[:, None], 0).sum(0)
+        gain[[j for j, _ in want]] = -1
+        j = int(np.round(gain, 9).argmax())
+        want.append((j, gain[j]))
+        cover = np.maximum(cover, cos[:, j])
+    got = sorted(run(spark, tmp_path / "o07", "o07_facility_location", "embeddings", rows, EMBEDDINGS))
+    assert [(r.id, r.gain) for r in got] == [(j * 13, pytest.approx(g, abs=2e-6)) for j, g in want]
+
+
+def test_pair_statistics_equal_cosines(spark):
+    d = spark.createDataFrame([(i, [1.0, 0.0] if i < 30 else [0.0, 1.0]) for i in range(40)], "id long, v array<double>")
+    r = cluster.pair_statistics(d, "v", "id", exclude_diagonal=True).first()
+    same = (30 * 29 + 10 * 9) / (40 * 39)
+    assert [r.mean, r.median, r.p10, r.p90, r.min, r.max] == pytest.approx([same, 1, 0, 1, 0, 1])
+    assert cluster.pair_statistics(d.limit(0), "v", "id").first().mean is None
