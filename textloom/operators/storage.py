@@ -9,18 +9,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def base_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A temporary folder stands in only in local mode, where one machine is all."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "textloom-shared")
+    return base.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in spark.checkpoint.dir; where that is unset (tests), in a temporary folder."""
+    """An eager reliable checkpoint below spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base_folder(df.sparkSession) + "/textloom-checkpoints")
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in storage that all executors share: below spark.checkpoint.dir, or a temporary folder where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "textloom-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
+    """A new path in storage that all executors share."""
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> str:
