@@ -3,33 +3,27 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import shipping
+from textloom.operators.storage import base_folder
 
 #: The separators of the word rule: space and the control characters 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\f\r"
 #: A maximal run of anything else, for Java's and DuckDB's regular expressions.
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch to and from Python, where the session leaves it at Spark's 10000: long texts fill memory.
-ARROW_ROWS = 2000
-
 _RUN = uuid.uuid4().hex[:12]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this run that all executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "textloom-shared")
-    return f"{base.rstrip('/')}/textloom-{_RUN}"
+    """A folder of this run in storage that all executors share."""
+    return f"{base_folder(spark)}/textloom-{_RUN}"
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -78,12 +72,25 @@ def claim(name: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark application; bound the rows of Arrow batches."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Give the executors this package, once for each Spark application."""
     shipping.ship(spark)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in views of few rows. Spark bounds a batch in bytes; what Python makes of it is bounded by these."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that is not taken (names differ by more than case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,9 +8,14 @@ A batch is assembled in numpy: segment lengths, cumulative offsets and scatter i
 headers and contents are copied into one preallocated buffer that becomes the Arrow string column. The loss mask is a list
 of code point ranges, one for each assistant text.
 
-Defined cases: null roles and texts count as empty; rows with a null id form one conversation; turns tie by role, then
-text; repeated rows are repeated turns; an empty table gives no rows; other columns are ignored. A conversation longer than
-PART_BYTES comes in several rows, by part, next to one another, so that memory stays bounded.
+Texts are copied in pieces of STEP bytes, so index arrays never grow with a text; rows are assembled once they have PART_BYTES,
+and a batch's memory is a few times that (or its longest text). Offsets are 64-bit until the Arrow column, whose 32 bits a
+part beyond 2 GiB would not fit: that raises an error.
+
+Defined cases: null roles and texts count as empty; rows with a null id form one conversation; turns tie by role, then text;
+repeated rows are repeated turns; an empty table gives no rows; other columns are ignored. A conversation longer than
+PART_BYTES comes in several rows, by part, next to one another. All of a conversation is in one task, as streams, because a
+digest over it must read it in order; its memory is that of a part.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import ship
+from textloom.llm._common import ship, slices
 
 ROLE, TEXT, END = b"<|role|>", b"<|text|>", b"<|end|>\n"
 ESCAPED = np.zeros(256, bool)
 ESCAPED[list(b"<[\\")] = True
-PART_BYTES = 32 << 20
+PART_BYTES, STEP = 8 << 20, 1 << 20
 SCHEMA = "conv_id long, part int, n_turns long, formatted string, loss_start array<int>, loss_end array<int>"
 
 
@@ -45,13 +50,16 @@ def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def escape(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hit = ESCAPED[data]
-    before = np.concatenate([[0], np.cumsum(hit)])
-    out = np.empty(len(data) + before[-1], np.uint8)
-    at = np.arange(len(data)) + before[:-1]
-    out[at] = data
-    out[at[hit] + 1] = ord("\\")
-    return off + before[off], out
+    hit = np.flatnonzero(ESCAPED[data])
+    out = np.empty(len(data) + len(hit), np.uint8)
+    for lo in range(0, len(data), STEP):
+        piece = data[lo : lo + STEP]
+        i, j = np.searchsorted(hit, (lo, lo + len(piece)))
+        wide = ESCAPED[piece]
+        at = lo + i + np.arange(len(piece)) + np.cumsum(wide) - wide
+        out[at] = piece
+        out[at[wide] + 1] = ord("\\")
+    return off + np.searchsorted(hit, off), out
 
 
 def unescape(s: str) -> str:
@@ -59,9 +67,25 @@ def unescape(s: str) -> str:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, off: np.ndarray, data: np.ndarray) -> None:
-    """Copy the i-th piece of data to out from at[i] on."""
-    lens = np.diff(off)
-    out[np.repeat(at - off[:-1], lens) + np.arange(len(data))] = data
+    """Copy the i-th piece of data, off[i] to off[i + 1], to out from at[i] on."""
+    for lo in range(0, len(data), STEP):
+        hi = min(lo + STEP, len(data))
+        i, j = np.searchsorted(off, lo, "right") - 1, np.searchsorted(off, hi)
+        edges = np.clip(off[i : j + 1], lo, hi)
+        out[np.repeat(at[i:j] - off[i:j], np.diff(edges)) + np.arange(lo, hi)] = data[lo:hi]
+
+
+def _characters(out: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number of code points of UTF-8 bytes before each place."""
+    total, before = 0, np.empty(len(at), np.int64)
+    order = np.argsort(at, kind="stable")
+    places, k = at[order], 0
+    for lo in range(0, len(out) + 1, STEP):
+        upto = np.concatenate([[0], np.cumsum((out[lo : lo + STEP] & 0xC0) != 0x80)])
+        j = np.searchsorted(places, lo + STEP)
+        before[order[k:j]] = total + upto[places[k:j] - lo]
+        total, k = total + int(upto[-1]), j
+    return before
 
 
 def assemble(conv: list, first: np.ndarray, roles: pa.Array, texts: pa.Array, part: int) -> pa.RecordBatch:
@@ -79,12 +103,14 @@ def assemble(conv: list, first: np.ndarray, roles: pa.Array, texts: pa.Array, pa
         out[at[:, None] + np.arange(len(head))] = np.frombuffer(head, np.uint8)
     _scatter(out, base + role_at, ro, rd)
     _scatter(out, base + text_at, to, td)
-    chars = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
+    if starts[-1] >= 1 << 31:
+        raise ValueError("a part of a conversation is over 2 GiB")
     heads = np.append(first, n)
     which = np.repeat(np.arange(len(first)), np.diff(heads))
     loss = pc.fill_null(pc.equal(roles, "assistant"), False).to_numpy(zero_copy_only=False)
-    zero = chars[starts[first]][which]
-    lo, hi = (chars[base + text_at] - zero)[loss], (chars[base + end_at] - zero)[loss]
+    chars = _characters(out, np.concatenate([starts[first], (base + text_at)[loss], (base + end_at)[loss]]))
+    zero, lo, hi = np.split(chars, [len(first), len(first) + loss.sum()])
+    lo, hi = lo - zero[which[loss]], hi - zero[which[loss]]
     loss_off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(which[loss], minlength=len(first)))]).astype(np.int32))
     text = pa.StringArray.from_buffers(len(first), pa.py_buffer(starts[heads].astype(np.int32)), pa.py_buffer(out))
     parts = np.zeros(len(first), np.int32)
@@ -104,21 +130,27 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.array([i for i, x in enumerate(ids) if not i or x != ids[i - 1]], np.int64)
         return assemble([ids[i] for i in first], first, t.column("role").combine_chunks(), t.column("text").combine_chunks(), part)
 
-    for b in batches:
-        for lo in range(0, b.num_rows, 2000):
-            now = b.slice(lo, 2000)
-            if held and held[0].column(0)[0].as_py() != now.column(0)[0].as_py():
-                yield rows(pa.Table.from_batches(held), part)
-                held, part = [], 0
-            ids = now.column(0).to_pylist()
-            cut = next((i + 1 for i in range(len(ids) - 2, -1, -1) if ids[i] != ids[-1]), 0)
-            if cut:
-                yield rows(pa.Table.from_batches([*held, now.slice(0, cut)]), part)
-                held, part = [], 0
-            held.append(now.slice(cut))
-            if sum(x.nbytes for x in held) >= PART_BYTES:
-                yield rows(pa.Table.from_batches(held), part)
-                held, part = [], part + 1
+    def cut_by_bytes(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = np.cumsum(np.diff(_bytes(b.column(1))[0]) + np.diff(_bytes(b.column(2))[0]) + 32)
+        lo = 0
+        while lo < b.num_rows:  # rows of PART_BYTES in all, one row at least
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PART_BYTES, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+    for now in (x for b in batches for x in cut_by_bytes(b)):
+        if held and held[0].column(0)[0].as_py() != now.column(0)[0].as_py():
+            yield rows(pa.Table.from_batches(held), part)
+            held, part = [], 0
+        ids = now.column(0).to_pylist()
+        cut = next((i + 1 for i in range(len(ids) - 2, -1, -1) if ids[i] != ids[-1]), 0)
+        if cut:
+            yield rows(pa.Table.from_batches([*held, now.slice(0, cut)]), part)
+            held, part = [], 0
+        held.append(now.slice(cut))
+        if sum(x.nbytes for x in held) >= PART_BYTES:
+            yield rows(pa.Table.from_batches(held), part)
+            held, part = [], part + 1
     if held:
         yield rows(pa.Table.from_batches(held), part)
 
@@ -146,7 +178,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     for b in batches:
         done = []
-        for r in b.to_pylist():
+        for r in (x for one in slices(iter([b]), 64) for x in one.to_pylist()):
             if now is None or not r["part"]:
                 if now:
                     done.append(row(now))

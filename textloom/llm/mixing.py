@@ -4,16 +4,18 @@
    weight; a target stops at CAP times its source's words, and the excess is shared anew until none is above.
 2. A source's documents are dealt to shards of about SHARD_WORDS words by a hash of the id, so that no window holds a hot
    source. The words of a shard, in a seeded order of its documents, are cut into equal blocks of about BLOCK words.
-3. Sainte-Laguë's method gives sources, then each source's shards, integer numbers of blocks by highest quotients.
+3. Sainte-Laguë's method gives sources, then each source's groups of GROUP shards, then each group's shards, integer numbers
+   of blocks by highest quotients. A task apportions one row a source, one a group of a source, or one a shard of a group.
 4. A shard with q blocks to take from its n takes every block floor(q / n) times, and q mod n of them once more: those at
    the first places of a seeded permutation, which needs no list of blocks.
 
 A document's words taken are the overlaps of its words with the blocks, repeats counted; they never exceed CAP times its
 size. Everything is a function of the rows and the seed, so reruns agree.
 
-Defined cases: null text has size 0; documents of size 0 take nothing; rows with a null source form one source, ranked
-last; rows that repeat an id are documents of their own in a fixed order; an empty table gives no rows; other columns are
-kept by mix_rows and ignored by mix.
+Defined cases: null text has size 0; documents of size 0 take nothing and are in no shard; a very long document is cut in blocks
+as any other; rows with a null source form one source, ranked last; sources with equal quotients go by rank, shards by number;
+rows that repeat an id are documents of their own in a fixed order; an empty table gives no rows; other columns are kept by
+mix_rows, whatever their names, and ignored by mix.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._common import WORD_RUN, materialise, release, ship
+from textloom.llm._common import WORD_RUN, materialise, release, ship, unused
 
 BLOCK, SHARD_WORDS, CAP = 128, 1 << 20, 3
+#: Shards of a source that are apportioned by one task.
+GROUP = 4096
 SEED = 20_240_601
 #: Steps of the seeded permutations: primes above any number of blocks in a shard, so coprime to it.
 STEPS = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
@@ -81,10 +85,15 @@ def _source_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(blocks=sainte_lague(wanted, round(sum(wanted)), [CAP * int(n) for n in pdf.n]))[["rank", "blocks"]]
 
 
-def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("shard")
-    pdf["quota"] = sainte_lague(pdf.n.astype(float).tolist(), int(pdf.blocks.iloc[0]), [CAP * int(n) for n in pdf.n])
-    return pdf[["rank", "shard", "shard_size", "n", "quota"]]
+def _divided(by: str):
+    """Shares a group's blocks among its rows in order of a column, by their numbers of blocks n."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by)
+        pdf["quota"] = sainte_lague(pdf.n.astype(float).tolist(), int(pdf.blocks.iloc[0]), [CAP * int(n) for n in pdf.n])
+        return pdf.drop(columns="blocks")
+
+    return run
 
 
 def word_count(text):
@@ -98,11 +107,16 @@ def _mixed(d: DataFrame, seed: int) -> DataFrame:
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long")
     d = d.join(t.withColumn("shards", shards), d["source"].eqNullSafe(t["source"])).drop(t["source"])
     d = d.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("shard", F.pmod(F.col("h"), F.col("shards")))
+    nothing = d.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    d = d.where("size > 0")
     cells = d.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"))
-    cells = cells.withColumn("n", F.when(F.col("shard_size") > 0, F.greatest(F.lit(1), F.round(F.col("shard_size") / BLOCK))).otherwise(0).cast("long"))
-    per = cells.groupBy("rank").agg(F.sum("n").alias("n")).join(t.select("rank", "source_size", "target"), "rank")
+    cells = cells.withColumn("n", F.greatest(F.lit(1), F.round(F.col("shard_size") / BLOCK)).cast("long")).withColumn("team", F.floor(F.col("shard") / GROUP))
+    teams = cells.groupBy("rank", "team").agg(F.sum("n").alias("n"))
+    per = teams.groupBy("rank").agg(F.sum("n").alias("n")).join(t.select("rank", "source_size", "target"), "rank")
     quotas = per.groupBy().applyInPandas(_source_quotas, "rank int, blocks long")
-    cells = cells.join(quotas, "rank").groupBy("rank").applyInPandas(_shard_quotas, "rank int, shard long, shard_size long, n long, quota long")
+    teams = teams.join(quotas, "rank").groupBy("rank").applyInPandas(_divided("team"), "rank int, team long, n long, quota long")
+    cells = cells.join(teams.select("rank", "team", F.col("quota").alias("blocks")), ["rank", "team"])
+    cells = cells.groupBy("rank", "team").applyInPandas(_divided("shard"), "rank int, team long, shard long, shard_size long, n long, quota long").drop("team")
     before = Window.partitionBy("rank", "shard").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("end", F.sum("size").over(before)).withColumn("start", F.col("end") - F.col("size")).join(cells, ["rank", "shard"])
     cell = F.xxhash64("rank", "shard", F.lit(seed + 1))
@@ -119,8 +133,9 @@ def _mixed(d: DataFrame, seed: int) -> DataFrame:
         return words * F.least(F.lit(CAP).cast("long"), F.col("each") + F.when(place < F.col("more"), 1).otherwise(0))
 
     blocks = F.sequence(block_of(F.col("start")), block_of(F.col("end") - 1))
-    taken = F.when(F.col("size") > 0, F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, b: acc + overlap(b))).otherwise(F.lit(0))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "h")
+    taken = F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, b: acc + overlap(b))
+    names = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    return d.withColumn("taken", taken.cast("long")).select(*names).unionByName(nothing.select(*names))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -142,7 +157,8 @@ def mix_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
     copies = F.floor(F.col("taken") / F.col("size")) + F.when(draw < F.col("taken") / F.col("size") - F.floor(F.col("taken") / F.col("size")), 1).otherwise(0)
     plan = materialise(m.where("size > 0").select("doc_id", "source", "size", copies.alias("copies")).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix-plan")
     release(sizes)
-    own = docs.withColumn("_size", word_count(F.col("text"))).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("_size") == F.col("p.size"))
-    out = own.join(plan.hint("merge").alias("p"), on).withColumn("_copy", F.explode(F.expr("sequence(1, p.copies)")))
+    size, copy = unused("size", docs.columns), unused("copy", docs.columns)
+    own = docs.withColumn(size, word_count(F.col("text"))).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col(f"d.`{size}`") == F.col("p.size"))
+    out = own.join(plan.hint("merge").alias("p"), on).withColumn(copy, F.explode(F.expr("sequence(1, p.copies)")))
     return out.select(*[F.col(f"d.`{c}`") for c in docs.columns])

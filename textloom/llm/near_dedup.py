@@ -13,9 +13,13 @@ Jaccard similarity of their full sets reaches the threshold.
 4. In the buckets that still hold several components, the pairs across components are compared inside blocks: by sketch
    (8-bit coordinates rule out pairs that are over five standard deviations below the threshold), then by full sets.
    A block emits the links that join components, never pairs.
+A bucket of n documents that no link joins takes n / BLOCK copies of each and n * n / 2 comparisons of sketches, in blocks of
+bounded size; pairs are neither dropped nor written.
 
-Defined cases: null or wordless text has no shingles and links with nothing; rows with a null id link with nothing,
-have a null component and are kept; repeated rows of one id share its component; other columns are ignored.
+Defined cases: null or wordless text has no shingles and links with nothing; texts are read whole, however long; rows with a
+null id link with nothing, have a null component and are kept; the rows of one id are one node, whatever their texts, so
+repeated rows share a component and an id with several texts joins theirs; ties go to the smaller id; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import claim, holds, materialise, release, ship
+from textloom.llm._common import claim, holds, materialise, release, ship, slices
 
 T, ROWS = 200, 5
 BANDS = T // ROWS
@@ -36,7 +40,7 @@ SHINGLE = 5
 #: Of T 8-bit coordinates, so many agree for pairs worth an exact comparison: 0.75 * T less 5.2 standard deviations.
 LEAST_AGREE = 118
 #: Documents in one side of a block when a bucket's pairs are compared.
-BLOCK = 1024
+BLOCK = 512
 #: Up to so many ids are broadcast to select documents for verification (16 bytes each); beyond, a shuffled join selects them.
 BROADCAST_IDS = 2_000_000
 #: Words whose hashes a worker remembers before it starts anew.
@@ -142,7 +146,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     claim("near_dedup")
-    for b in batches:
+    for b in slices(batches, 2000):
         ids, sets, n = [], [], 0
         for i, t in zip(b.column(0).to_pylist(), b.column(1)):
             s = shingle_set(t.as_py())
@@ -157,12 +161,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, k1 (the first half of the set's key) and the set."""
     claim("near_dedup")
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+    for part in slices(batches):
+        sets = [shingle_set(t.as_py()) for t in part.column(1)]
+        key = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)[0] for x in sets], np.int64)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "k1", "shingles"])
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -188,12 +192,12 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose full sets meet the threshold num / den."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    """The pairs (u, v) of rows (u, uk, v, vk) whose full sets meet the threshold num / den."""
+    a = sets.select(F.col("doc_id").alias("u"), F.col("k1").alias("uk"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("doc_id").alias("v"), F.col("k1").alias("vk"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b")).cast("long")
     near = (F.least(F.size("a"), F.size("b")) * den >= F.greatest(F.size("a"), F.size("b")) * num)
-    x = pairs.join(a, "u").join(b, "v").where(near).select("u", "v", both.alias("i"), (F.size("a").cast("long") + F.size("b")).alias("s"))
+    x = pairs.join(a, ["u", "uk"]).join(b, ["v", "vk"]).where(near).select("u", "v", both.alias("i"), (F.size("a").cast("long") + F.size("b")).alias("s"))
     return x.where(F.col("i") * den >= (F.col("s") - F.col("i")) * num).select("u", "v")
 
 
@@ -211,12 +215,15 @@ def _block_links(num: int, den: int):
         side, ids, comp = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         sig = np.stack([r[3] for r in rows])
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        found = []
+        agree, pairs = [np.empty(0, np.uint8)], [np.empty((0, 2), np.int32)]
         for i in left:
             cand = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[right] == 1))]
             if len(cand):
                 n = (sig[cand] == sig[i]).sum(axis=1)
-                found += [(-int(m), int(i), int(j)) for m, j in zip(n, cand) if m >= LEAST_AGREE]
+                cand, n = cand[n >= LEAST_AGREE], n[n >= LEAST_AGREE]
+                agree.append(n.astype(np.uint8))
+                pairs.append(np.stack([np.full(len(cand), i), cand], axis=1).astype(np.int32))
+        agree, pairs = np.concatenate(agree), np.concatenate(pairs)
         root: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -225,7 +232,8 @@ def _block_links(num: int, den: int):
             return c
 
         out = []
-        for _, i, j in sorted(found):
+        for k in np.argsort(255 - agree, kind="stable"):
+            i, j = pairs[k]
             a, b = top(comp[i]), top(comp[j])
             if a == b or np.flatnonzero(rows[i][4] == rows[j][4])[0] != np.flatnonzero(rows[i][4] == bucket)[0]:
                 continue
@@ -266,15 +274,15 @@ def _block_links(num: int, den: int):
 
 def _cross_links(buckets: DataFrame, comps: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) across components, from the buckets with several; a large bucket is dealt in block pairs."""
-    m = buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).select("bucket", "doc_id", "comp")
-    m = m.join(sketches.select("doc_id", "n_shingles"), "doc_id")
+    m = buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).select("bucket", "doc_id", "k1", "comp")
+    m = m.join(sketches.select("doc_id", "k1", "n_shingles"), ["doc_id", "k1"])
     mixed = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo <> hi")
-    rows = m.select("bucket", "doc_id", "comp").join(mixed.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / SLAB)).cast("int").alias("nb")), "bucket")
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    rows = m.select("bucket", "doc_id", "k1", "comp").join(mixed.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / SLAB)).cast("int").alias("nb")), "bucket")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "k1"), F.col("nb")).cast("int"))
     # side 2: within one block; 0 and 1: between two blocks
     at = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(k, F.col("g")).alias("i"), F.greatest(k, F.col("g")).alias("j"), F.when(k == F.col("g"), 2).when(F.col("g") < k, 0).otherwise(1).alias("side")))
-    dealt = rows.withColumn("x", F.explode(at)).select("bucket", "x.i", "x.j", "x.side", "doc_id", "comp")
-    dealt = dealt.join(sketches.select("doc_id", "sig", "bands"), "doc_id").join(sets, "doc_id")
+    dealt = rows.withColumn("x", F.explode(at)).select("bucket", "x.i", "x.j", "x.side", "doc_id", "k1", "comp")
+    dealt = dealt.join(sketches.select("doc_id", "k1", "sig", "bands"), ["doc_id", "k1"]).join(sets, ["doc_id", "k1"])
     dealt = dealt.select("bucket", "i", "j", "side", "doc_id", "comp", "sig", "bands", "shingles").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(_block_links(num, den), _LINKS).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -288,25 +296,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = feats.where("n_shingles > 0 and doc_id is not null")
     # stored, so that both sides of the joins are shuffled and a key of many copies can be split
     classes = materialise(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = some.join(classes, ["k1", "k2"]).where("doc_id = rep").select("doc_id", "bands")
-    flat = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    multi = flat.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("most")).where("lead <> most").select("bucket", "lead")
+    repeated = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
+    # one row for each id and set; only where ids repeat is there anything to drop
+    once = lambda df: df.dropDuplicates(["doc_id", "k1"]) if repeated else df
+    reps = once(some.join(classes, ["k1", "k2"]).where("doc_id = rep").select("doc_id", "k1", "bands"))
+    flat = reps.select("doc_id", "k1", F.explode("bands").alias("bucket"))
+    multi = flat.groupBy("bucket").agg(F.min(F.struct("doc_id", "k1")).alias("lead"), F.max("doc_id").alias("most")).where("lead.doc_id <> most").select("bucket", F.col("lead.doc_id").alias("lead"), F.col("lead.k1").alias("lead_k1"))
     buckets = materialise(flat.join(multi, "bucket"), "near-buckets")
-    members = materialise(buckets.select("doc_id").distinct(), "near-members")
-    n = members.count()
-    pick = F.broadcast(members) if n <= BROADCAST_IDS else members
-    texts = base.join(pick, "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
-    sketches = feats.join(pick, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", "bands")
+    members = materialise(buckets.select("doc_id", "k1").distinct(), "near-members")
+    small = members.count() <= BROADCAST_IDS
+    pick = lambda df: F.broadcast(df) if small else df
+    texts = base.join(pick(members.select("doc_id").distinct() if repeated else members.select("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "doc_id long, k1 long, shingles array<long>")
+    if repeated:
+        sets = once(sets.join(pick(members), ["doc_id", "k1"], "left_semi"))
+    sets = materialise(sets, "near-sets")
+    sketches = once(feats.join(pick(members), ["doc_id", "k1"], "left_semi").select("doc_id", "k1", "n_shingles", "sig", "bands"))
     # one leader for each document: the one it meets in most buckets
-    stars = buckets.where("doc_id <> lead").groupBy("doc_id", "lead").count()
-    best = stars.groupBy("doc_id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-    edges = materialise(_verified(best.select(F.col("doc_id").alias("u"), F.col("lead").alias("v")), sets, num, den), "near-links")
+    stars = buckets.where("doc_id <> lead").groupBy("doc_id", "k1", "lead", "lead_k1").count()
+    best = stars.groupBy("doc_id", "k1").agg(F.max_by(F.struct("lead", "lead_k1"), F.struct("count", -F.col("lead"), "lead_k1")).alias("b"))
+    edges = _verified(best.select(F.col("doc_id").alias("u"), F.col("k1").alias("uk"), F.col("b.lead").alias("v"), F.col("b.lead_k1").alias("vk")), sets, num, den)
+    own = some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "rep")
+    if repeated:  # the classes that one id's texts are in belong together
+        several = own.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
+        edges = edges.unionByName(own.join(several, "doc_id").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct())
+    edges = materialise(edges, "near-links")
     comps = connected_components(edges)
     more = materialise(_cross_links(buckets, comps, sketches, sets, num, den), "near-links")
     first, comps = comps, connected_components(edges.unionByName(more))
     for done in (first, buckets, members, sets, edges, more):
         release(done)
-    members_of = some.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
+    members_of = own.join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = feats.select("doc_id", "n_shingles").join(members_of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -7,28 +7,29 @@ from textloom.llm import quality_rules as qr
 from textloom.llm import url_filter as uf
 
 _SPACE = r"[\x20\x09-\x0D]+"
-_WORDS = "[" + ", ".join(f"'{w}'" for w in qr.WORDS) + "]"
 _CLASS = ", ".join(f"len(regexp_extract_all(rest, '{p}'))" for p in qr.CLASSES.values())
 
 QUALITY_RULES = rf"""
 with d as (select row_number() over () rid, doc_id, lang, coalesce(text, '') text from documents),
 w as (select *, list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda x: x <> '') w, regexp_replace(text, '[a-z\x20\x09-\x0D]+', '', 'g') rest, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
+df as (select lang, x, count(*) n from (select lang, unnest(list_distinct(w)) x from w where lang is not null) where length(x) <= {qr.LONGEST} group by all),
+kw as (select lang, list(x order by x) known from (select *, row_number() over (partition by lang order by n desc, x) p from df) where p <= {qr.COMMON} group by lang),
+vote as (select rid, arg_min(lang, (-n, lang)) lang from (select v.rid, k.lang, count(*) n from (select rid, unnest(list_distinct(w)) x from w where lang is null) v join (select lang, unnest(known) x from kw) k using (x) group by all) group by rid),
+lg as (select rid, coalesce(w.lang, vote.lang) ref, w.lang from w left join vote using (rid)),
 g as (select rid, i, array_to_string(w[i:i+{qr.WINDOW - 1}], ' ') g from (select rid, w, unnest(range(1, len(w) - {qr.WINDOW - 2})) i from w)),
 r as (select rid, count(distinct i + k) n from (select rid, i, count(*) over (partition by rid, g) c from g), range({qr.WINDOW}) t(k) where c > 1 group by rid),
-b as (select w.rid, doc_id, lang, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, length(rest)::bigint rest_chars, (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words,
-  [{_CLASS}] k, list_transform({_WORDS}, lambda c: len(list_filter(w, lambda x: x = c))) f from w left join r using (rid)),
-c as (select rid, doc_id, lang, n_words, word_chars, k[{list(qr.CLASSES).index("symbol") + 1}]::bigint n_symbols, n_dup_lines, n_repeat_words, (n_words < {qr.LEAST_WORDS} or 100 * n_repeat_words > {qr.REPEAT_SHARE} * n_words) base_failed,
-  list_concat([word_chars - rest_chars], list_concat(k, [rest_chars - list_sum(k)])) classes, list_append(f, n_words - list_sum(f)) common from b),
-langs as (select lang from c where not base_failed and lang is not null group by lang order by count(*) desc, lang limit {qr.LANGUAGES}),
-ck as (select lang, i, sum(v)::double v from (select lang, unnest(classes) v, generate_subscripts(classes, 1) i from c semi join langs using (lang) where not base_failed) group by all),
-cw as (select lang, i, sum(v)::double v from (select lang, unnest(common) v, generate_subscripts(common, 1) i from c semi join langs using (lang) where not base_failed) group by all),
-rk as (select lang, list(v / t order by i) q from (select *, sum(v) over (partition by lang) t from ck) group by lang), rw as (select lang, list(v / t order by i) q from (select *, sum(v) over (partition by lang) t from cw) group by lang),
+b as (select w.rid, doc_id, w.lang, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars, length(rest)::bigint rest_chars, (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words,
+  [{_CLASS}] k, list_transform(known, lambda c: len(list_filter(w, lambda x: x = c))) f, ref from w join lg using (rid) left join kw on kw.lang = lg.ref left join r using (rid)),
+c as (select rid, doc_id, lang, ref, n_words, word_chars, k[{list(qr.CLASSES).index("symbol") + 1}]::bigint n_symbols, n_dup_lines, n_repeat_words, (n_words < {qr.LEAST_WORDS} or 100 * n_repeat_words > {qr.REPEAT_SHARE} * n_words) base_failed,
+  list_concat([word_chars - rest_chars], list_concat(k, [rest_chars - list_sum(k)])) classes, case when f is not null then list_append(f, n_words - coalesce(list_sum(f), 0)) end common from b),
+ck as (select ref, i, sum(v)::double v from (select ref, unnest(classes) v, generate_subscripts(classes, 1) i from c where not base_failed and lang is not null) group by all),
+cw as (select ref, i, sum(v)::double v from (select ref, unnest(common) v, generate_subscripts(common, 1) i from c where not base_failed and lang is not null) group by all),
+rk as (select ref, list(v / t order by i) q from (select *, sum(v) over (partition by ref) t from ck) group by ref), rw as (select ref, list(v / t order by i) q from (select *, sum(v) over (partition by ref) t from cw) group by ref),
 js as (select c.rid, case when n_words > 0 then sqrt(greatest(0, list_sum(list_transform(list_zip(list_transform(common, lambda x: x / n_words::double), rw.q), lambda z: case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end)) / 2)) else 1 end a,
-  case when word_chars > 0 then sqrt(greatest(0, list_sum(list_transform(list_zip(list_transform(classes, lambda x: x / word_chars::double), rk.q), lambda z: case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end)) / 2)) else 1 end b from c, rk join rw using (lang)),
-near as (select rid, min(a) a, arg_min(b, a) b from js group by rid)
+  case when word_chars > 0 then sqrt(greatest(0, list_sum(list_transform(list_zip(list_transform(classes, lambda x: x / word_chars::double), rk.q), lambda z: case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end + case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end)) / 2)) else 1 end b from c join rk using (ref) join rw using (ref))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not coalesce((word_chars >= {qr.LEAST_CHARS} and b > {qr.CHAR_LIMIT}::double + {qr.CHAR_NOISE}::double / sqrt(word_chars)) or (n_words >= {qr.LEAST_COMMON} and a > {qr.COMMON_LIMIT}::double + {qr.COMMON_NOISE}::double / sqrt(n_words)), false) kept,
-  round(b, 6) char_distance, round(a, 6) common_distance from c left join near using (rid)
+  round(b, 6) char_distance, round(a, 6) common_distance from c left join js using (rid)
 """
 
 

@@ -2,13 +2,16 @@
 
 Each text gives a vector of statistics of its whole text (shares of character classes, word and line repetition, word
 shapes), square-rooted or logged so that classes are nearer to normal. The class means and covariances come from sums over
-all labelled training rows, made on the executors; covariances are shrunk towards the pooled one and towards a
-multiple of the identity, and their Cholesky factors are inverted once. A score is the log density difference of the two
-classes by Mahalanobis distance, made a probability by a logistic fit over the training rows' binned differences.
-
-Defined cases: null text counts as empty and has a score; without training rows of both classes every score is 1; labels
-that repeat or contradict each other count once each; repeated documents and null ids are scored as they are (a null id
-falls in the fold of the empty text, and has no label); other columns are ignored.
+all labelled training rows, made on the executors; covariances are shrunk towards the pooled one, and that towards the
+identity, by shares estimated from the rows, and their Cholesky factors are inverted once. A score is the log density
+difference of the two classes by Mahalanobis distance, made a probability by a logistic fit over the training rows' binned
+differences.
+
+Defined cases: null text counts as empty and has a score; very long texts are read whole, one at a time; one labelled row of
+each class is enough for a model, and only where a class has none is every score 1; labels that repeat or contradict each
+other count once each; repeated documents get the same score each, null ids are scored too (a null id falls in the fold of the
+empty text, and has no label); equal scores need no order; an empty table gives no rows; other columns are ignored by
+quality_scores and kept by keep_good.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import claim, crc_mod, materialise, release, ship
+from textloom.llm._common import claim, crc_mod, materialise, release, ship, slices
 
 THRESHOLD = 0.3
-#: Shares of the pooled covariance and of the scaled identity in a class's covariance.
+#: The least shares of the pooled covariance and of the identity in a class's covariance.
 POOL, RIDGE = 0.1, 0.02
 #: Bins of log density differences for the logistic fit.
 BIN, LIMIT = 0.5, 100
@@ -64,7 +67,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("quality_classifier")
-    for b in batches:
+    for b in slices(batches):
         x = [statistics(t.as_py()) for t in b.column(1)]
         if x:
             off = pa.array(np.arange(len(x) + 1, dtype=np.int32) * DIM)
@@ -87,22 +90,39 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], n).astype(np.int32)), pa.array(np.tile(np.arange(n), 2).astype(np.int32)), pa.array(sums.ravel())], names=["k", "i", "s"])
 
 
+def shrinkage(cov: np.ndarray, n: float, target: np.ndarray) -> float:
+    """The share of target in the covariance of n rows that has the least expected squared error if rows are normal:
+    the error of cov by its own traces over its squared distance from target."""
+    error = (np.trace(cov @ cov) + np.trace(cov) ** 2) / n
+    return float(min(1.0, error / max(error, ((cov - target) ** 2).sum())))
+
+
 class Model:
-    """Means, inverted Cholesky factors, log determinants and the logistic fit (slope, shift)."""
+    """Means, inverted Cholesky factors, log determinants and the logistic fit (slope, shift).
+
+    Covariances are taken in units of the pooled deviations (one row of unit variance added). The pooled one is shrunk towards
+    the identity and each class's towards the pooled one, by shares estimated from the rows: near 1 for a class of a few rows,
+    so that any two classes give a model, and near POOL and 0 for large ones. RIDGE of the identity is always added.
+    """
 
     def __init__(self, sums: np.ndarray):
         n = sums[:, 0]
-        self.known = bool((n > DIM).all())
+        self.known = bool((n > 0).all())
         if not self.known:
             return
         self.mean = sums[:, 1 : 1 + DIM] / n[:, None]
         cov = [s[1 + DIM :].reshape(DIM, DIM) / c - np.outer(m, m) for s, c, m in zip(sums, n, self.mean)]
         pooled = (n[0] * cov[0] + n[1] * cov[1]) / n.sum()
-        scale = np.sqrt(np.diag(pooled)) + 1e-6
+        scale = np.sqrt(np.maximum(np.diag(pooled), 0) + 1 / n.sum())
+        unit, eye = np.outer(scale, scale), np.eye(DIM)
+        pooled = pooled / unit
+        share = shrinkage(pooled, n.sum(), eye)
+        pooled = (1 - share) * pooled + share * eye
         self.factor, self.det = [], []
-        for c in cov:
-            c = (1 - POOL - RIDGE) * c + POOL * pooled + RIDGE * np.diag(scale**2)
-            chol = np.linalg.cholesky(c)
+        for c, k in zip(cov, n):
+            share = POOL + (1 - POOL) * shrinkage(c / unit, k, pooled)
+            c = (1 - RIDGE) * ((1 - share) * c / unit + share * pooled) + RIDGE * eye
+            chol = np.linalg.cholesky(c * unit)
             self.factor.append(np.linalg.inv(chol))
             self.det.append(2 * np.log(np.diag(chol)).sum())
         self.prior = math.log(n[1] / n[0])
@@ -120,14 +140,25 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(self.slope * self.difference(x) + self.shift, -60, 60))), 9)
 
     def calibrate(self, bins: list[tuple[float, float, float]]) -> None:
-        """Newton's steps of a logistic fit to rows (difference, rows of class 1, rows), one pseudo-row of each class added."""
+        """A logistic fit to rows (difference, rows of class 1, rows), one pseudo-row of each class added, by Newton's steps,
+        each halved until the penalised log likelihood does not fall."""
         d, pos, n = np.array([(0.0, 1.0, 2.0), *bins]).T
-        a = np.array([0.5, 0.0])
         z = np.stack([d, np.ones_like(d)])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a @ z, -30, 30)))
+
+        def gain(a):
+            u = a @ z
+            return (pos * u - n * np.logaddexp(0, u)).sum() - 5e-4 * a @ a
+
+        a = np.array([0.1, 0.0])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ z, -500, 500)))
             step = np.linalg.solve((z * (n * p * (1 - p))) @ z.T + 1e-3 * np.eye(2), z @ (pos - n * p) - 1e-3 * a)
-            a = a + np.clip(step, -1, 1)
+            size = 1.0
+            while gain(a + size * step) < gain(a) and size > 1e-6:
+                size /= 2
+            a = a + size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
         if a[0] > 0:
             self.slope, self.shift = float(a[0]), float(a[1])
 
@@ -186,7 +217,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: flo
     release(feats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        claim("quality_classifier")
+        for b in slices(batches):
             if b.num_rows:
                 x = np.stack([statistics(t.as_py()) for t in b.column(b.schema.get_field_index(text_col))])
                 yield b.filter(pa.array(model.score(x) >= threshold))

@@ -1,17 +1,15 @@
-"""Token counts of whole texts, with overlap resynchronisation for huge documents.
+"""Token counts of whole texts by overlap resynchronisation.
 
-A document of more than CHUNK + OVERLAP characters is encoded in chunks that overlap, with offsets. Two neighbouring
-encodings are spliced at a boundary inside the overlap that is proven stable: both have a token that starts there, they
-agree on the RUN tokens from there on (ids and offsets), and the characters around it (white space, then an ASCII letter
-or digit) are ones across which the tokenizer neither normalises nor merges. Where no boundary is found the overlap is
+A text is encoded in chunks of CHUNK characters that overlap, with offsets; a text of one chunk has nothing to splice. Two
+neighbouring encodings are spliced at a boundary inside the overlap that is proven stable: both have a token that starts
+there, they agree on the RUN tokens from there on (ids and offsets), and the characters around it (white space, then an ASCII
+letter or digit) are ones across which the tokenizer neither normalises nor merges. Where no boundary is found the overlap is
 widened, twice as far each time, up to the text's end. Memory is bounded by a chunk, not by a document, unless a text has no
-such boundary at all.
+such boundary at all. The counts are the library's for the whole text.
 
-Shorter documents are encoded by white-space-separated word; a worker remembers the counts of up to MEMO words. Both ways
-give the library's count for the whole text.
-
-Defined cases: null text counts as empty (0 bytes, 0 tokens); rows are returned one for one, repeated ones and those with
-null ids too; other columns are ignored.
+Defined cases: null text counts as empty (0 bytes, 0 tokens); very long texts go by chunks, as above; rows are returned one for
+one, repeated ones and those with null ids too; of several proven boundaries the last one is taken; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import claim, holds, ship
+from textloom.llm._common import claim, ship, slices
 
-CHUNK, OVERLAP, RUN = 16_384, 512, 4
-MEMO = 400_000
+CHUNK, OVERLAP, RUN = 4096, 256, 4
 #: White space, then an ASCII letter or digit.
 STABLE = re.compile(r"(?<=[ \n])[A-Za-z0-9]")
 
@@ -46,84 +43,51 @@ def tokenizer(path: str):
     return _OPEN[path]
 
 
-def encode_offsets(tok, text: str) -> tuple[list[int], list[int]]:
-    """Ids, and the character at which each token begins."""
-    e = tok.encode(text, add_special_tokens=False)
-    return e.ids, [o[0] for o in e.offsets]
-
-
-def _boundary(text: str, at: int, lo: int, hi: int, left: tuple, right: tuple) -> tuple[int, int] | None:
-    """The last proven boundary p in text[lo:hi] as indices into left and right (which begins at character at): both agree from it."""
-    (li, ls), (ri, rs) = left, right
-    found = {s: k for k, s in reversed(list(enumerate(rs))) if s + at < hi}
-    for k in range(len(ls) - RUN, -1, -1):
-        p = ls[k]
-        if p <= lo:
-            return None
-        if k and ls[k - 1] == p:
+def _boundary(text: str, at: int, hi: int, lo: int, left, right) -> tuple[int, int] | None:
+    """The last proven boundary in text[at:hi], as token numbers of left (which begins at character lo) and right (at)."""
+    left_ids, right_ids = left.ids, right.ids
+    for m in reversed(list(STABLE.finditer(text, at + 1, hi))):
+        p = m.start()
+        k, j = left.char_to_token(p - lo), right.char_to_token(p - at)
+        if k is None or j is None or k + RUN > len(left_ids) or left_ids[k : k + RUN] != right_ids[j : j + RUN]:
             continue
-        j = found.get(p - at)
-        if j is not None and STABLE.match(text, p) and li[k : k + RUN] == ri[j : j + RUN] and ls[k : k + RUN] == [x + at for x in rs[j : j + RUN]]:
+        spans = [([a + lo for a in left.token_to_chars(k + r)], [a + at for a in right.token_to_chars(j + r)]) for r in range(RUN)]
+        if spans[0][0][0] == p and all(a == b for a, b in spans):
             return k, j
     return None
 
 
-def spliced(text: str, encode: Callable[[str], tuple[list[int], list[int]]], chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[int]]:
-    """The ids of the whole text, in pieces."""
+def spliced(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[int]]:
+    """The ids of the whole text, in pieces. encode gives the library's encoding (ids and offsets) of a string."""
     lo, wide = 0, overlap
-    hi = min(len(text), lo + chunk + wide)
-    ids, starts = encode(text[lo:hi])
-    starts = [s + lo for s in starts]
+    hi = min(len(text), chunk + wide)
+    left, skip = encode(text[lo:hi]), 0  # left's first skip tokens are given already
     while hi < len(text):
         at = hi - wide
         end = min(len(text), at + chunk + wide)
         right = encode(text[at:end])
-        cut = _boundary(text, at, at, hi, (ids, starts), right)
+        cut = _boundary(text, at, hi, lo, left, right)
         if cut:
-            k, j = cut
-            yield ids[:k]
-            ids, starts = right[0][j:], [s + at for s in right[1][j:]]
-            lo, hi, wide = starts[0], end, overlap
-        else:  # a longer left side, and a wider overlap with what follows it
+            yield left.ids[skip : cut[0]]
+            left, skip, lo, hi, wide = right, cut[1], at, end, overlap
+        else:  # a longer left side, from its last boundary on, and a wider overlap with what follows it
             wide *= 2
             hi = min(len(text), hi + wide)
-            ids, starts = encode(text[lo:hi])
-            starts = [s + lo for s in starts]
-    yield ids
-
-
-class _Counts(dict):
-    """Tokens by word; missing words are counted by the library."""
-
-    def __init__(self, tok):
-        self.tok = tok
-
-    def __missing__(self, word: bytes) -> int:
-        n = len(self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if len(self) < MEMO:
-            self[word] = n
-        return n
-
-
-_MEMO: dict[str, _Counts] = {}
-holds("token_count", _MEMO.clear)
+            lo += left.token_to_chars(skip)[0] if skip else 0
+            left, skip = encode(text[lo:hi]), 0
+    yield left.ids[skip:]
 
 
 def count_tokens(path: str, text: str) -> int:
     """The library's token count of a text."""
     tok = tokenizer(path)
-    if len(text) > CHUNK + OVERLAP:
-        return sum(map(len, spliced(text, lambda s: encode_offsets(tok, s))))
-    memo = _MEMO.get(path)
-    if memo is None or len(memo) >= MEMO:
-        memo = _MEMO[path] = _Counts(tok)
-    return sum(map(memo.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+    return sum(map(len, spliced(text, lambda s: tok.encode(s, add_special_tokens=False))))
 
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token_count")
-        for b in batches:
+        for b in slices(batches):
             n_bytes, n = [], []
             for x in b.column(1):
                 t = x.as_py() or ""

@@ -4,17 +4,21 @@ Documents are dealt by ranges of their id and sorted, so that the files in name
 document's id, its tokens with the end id, and its offset in its file; the stripes are read in parallel, and a lookup by id
 skips files, stripes and row groups by minimum, maximum and Bloom filter. Offsets over all files come from one row a file.
 
-Texts are cut where the tokenizer's own pattern always cuts, pieces are encoded by the tokenizers library's merges, and a
-worker remembers up to MEMO pieces. A text with characters or control strings for which the cuts aren't proven goes to the
-library as a whole; both ways give the same ids.
-
-Defined cases: null text is empty (the end id alone); documents with equal ids keep all their rows, ordered by a hash of the
-text; a null id sorts first; an empty table writes no rows; other columns are ignored.
+Where the tokenizer's file says that it cuts by the byte-level pattern and normalises nothing, texts are cut by that pattern,
+pieces are encoded by the tokenizers library's merges, and a worker remembers up to MEMO pieces. A text with characters or
+control strings for which the cuts aren't proven, and every text of a tokenizer of another kind, goes to the library as a
+whole; both ways give the same ids.
+
+Defined cases: null text is empty (the end id alone); a very long text is cut and encoded SEGMENT characters at a time, at
+places where the pattern always cuts (the library, where it takes a text, takes it whole); documents with equal ids keep all
+their rows, in the order in which the table is read, and can fill several ranges; null ids sort first; an empty table gives no
+rows; other columns are ignored. An id array holds a document, so a document has under 2^31 tokens.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,12 +33,14 @@ from textloom.llm._common import claim, holds, new_path, ship
 from textloom.llm.token_count import tokenizer
 
 MEMO = 1_000_000
-#: Tokens in one batch of output, which bounds a worker's memory.
-SLAB = 2_000_000
+#: Characters in one batch of output, and in one piece of a text that is cut at once: they bound a worker's memory.
+SLAB, SEGMENT = 2_000_000, 1_000_000
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts of these characters only are cut into pieces; for them the pattern below cuts as the tokenizer's does.
 PROVEN = re.compile(f"[ -~\n{_L}¡¿«»–—‘’“”…]*")
 PIECE = re.compile(rf" ?[{_L}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^ \n{_L}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
+#: A place where the pattern always cuts: before a space that follows something else and precedes a letter.
+CUT = re.compile("(?<=[^ \n]) (?=[A-Za-z])")
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
@@ -62,11 +68,20 @@ class _Numbers(dict):
         return n
 
 
+def cuts_by_pattern(tok) -> bool:
+    """Whether the tokenizer is a byte-level one that normalises nothing and cuts by the pattern that PIECE repeats."""
+    t = json.loads(tok.to_str())
+    pre, model = t["pre_tokenizer"] or {}, t["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    return t["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space") and model["type"] == "BPE" and plain
+
+
 class Pieces:
     """The ids of pieces, remembered: piece number by string, and all numbers' ids in one array."""
 
     def __init__(self, tok):
         self.tok, self.at = tok, _Numbers()
+        self.known = cuts_by_pattern(tok)
         self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.lens, self.starts, self.ids = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
 
@@ -85,11 +100,29 @@ class Pieces:
         self.starts = np.cumsum(self.lens, dtype=np.int32) - self.lens
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Long ones are encoded in segments, for which the same pieces are cut."""
+        if any(len(t) > SEGMENT for t in texts):
+            return [np.concatenate([x for part in self._segments(t) for x in self._encode([part])]) for t in texts]
+        return self._encode(texts)
+
+    def _segments(self, text: str) -> Iterator[str]:
+        lo, cut = 0, self.known and self._proven(text)
+        while cut and len(text) - lo > SEGMENT:
+            cut = CUT.search(text, lo + SEGMENT)
+            if cut:
+                yield text[lo : cut.start()]
+                lo = cut.start()
+        yield text[lo:]
+
+    def _proven(self, text: str) -> bool:
+        return bool(PROVEN.fullmatch(text)) and not any(s in text for s in self.special)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) >= MEMO:
             self.__init__(self.tok)
         number, cuts = self.at.__getitem__, []
         for t in texts:
-            if PROVEN.fullmatch(t) and not any(s in t for s in self.special):
+            if self.known and self._proven(t):
                 c = PIECE.findall(t)
                 cuts.append(np.fromiter(map(number, c), np.int32, len(c)))
             else:
@@ -135,8 +168,8 @@ def _encoder(path: str, end_id: int):
 
         for b in batches:
             lo, size, texts = 0, 0, []
-            for i, x in enumerate(b.column(1).to_pylist()):
-                texts.append(x or "")
+            for i, x in enumerate(b.column(1)):
+                texts.append(x.as_py() or "")
                 size += len(texts[-1]) + 1
                 if size >= SLAB or i == b.num_rows - 1:
                     yield rows(b.column(0).slice(lo, i + 1 - lo), pieces.encode(texts))
@@ -148,8 +181,9 @@ def _encoder(path: str, end_id: int):
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all documents' ids as ORC files below out, in ascending order of the ids. path: the tokenizer's file."""
     ship(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the row's number parts rows of one id, so that an id of many rows fills several ranges
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    d = d.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     d.mapInArrow(_encoder(path, end_id), SCHEMA).write.options(**ORC).orc(out)
 
 
@@ -166,6 +200,11 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(out)
 
 
+def lookup(spark: SparkSession, out: str, ids: list[int]) -> DataFrame:
+    """The rows of some documents. The filter reaches the reader, which skips files, stripes and row groups without them."""
+    return read_tokens(spark, out).where(F.col("doc_id").isin(*ids))
+
+
 def manifest(spark: SparkSession, out: str) -> DataFrame:
     """One row a file: part, n_docs, n_tokens and start (the tokens of all files before it)."""
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
