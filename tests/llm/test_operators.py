@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from textloom.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, token_count, token_output, url_filter
@@ -116,9 +117,54 @@ def test_token_output_odd_rows(odd, none, spark):
 def test_token_orc_files(docs, spark, tmp_path):
     out = f"file://{tmp_path}/orc"
     token_output.write_tokens(docs, out, P.path("byte_bpe_50k.json"))
-    raw = b"".join(p.read_bytes() for p in tmp_path.glob("orc/*.orc"))
-    assert b"ORC" in raw and token_output.manifest(spark, out).agg({"n_docs": "sum"}).first()[0] == docs.count()
-    assert token_output.read_tokens(spark, out).where("doc_id = 17").count() == 1
+    assert token_output.manifest(spark, out).agg({"n_docs": "sum"}).first()[0] == docs.count()
+    assert token_output.lookup(spark, out, [17]).count() == 1
+
+
+def scanned(df):
+    """The rows that the scan of a collected DataFrame gave."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().apply(0)
+    while leaf.nodeName().startswith("AdaptiveSparkPlan"):
+        leaf = leaf.executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_token_orc_prunes(spark, tmp_path):
+    """Row groups are skipped by minimum and maximum, and by the Bloom filter for an id that lies between but isn't there."""
+    out, n = f"file://{tmp_path}/orc", 30_000
+    d = spark.range(n).selectExpr("id * 2 as doc_id", "concat('text number ', id) as text")
+    token_output.write_tokens(d, out, P.path("byte_bpe_50k.json"))
+    assert {f.suffix for f in tmp_path.glob("orc/part-*")} == {".orc"}
+    assert scanned(token_output.read_tokens(spark, out)) == n
+    assert token_output.lookup(spark, out, [20_000]).count() == 1 and 1 <= scanned(token_output.lookup(spark, out, [20_000])) <= 1000
+    assert scanned(token_output.lookup(spark, out, [20_001])) == 0
+    schema = token_output.read_tokens(spark, out).orderBy("doc_id").select("doc_id").limit(3).collect()
+    assert [r.doc_id for r in schema] == [0, 2, 4]
+
+
+def test_token_orc_stripes(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(token_output.ORC, "orc.stripe.size", "65536")
+    monkeypatch.setitem(token_output.ORC, "orc.rows.between.memory.checks", "200")
+    d = spark.range(6000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 40), i -> hash(id, i))) as text").coalesce(1)
+    out = f"file://{tmp_path}/orc"
+    token_output.write_tokens(d, out, P.path("byte_bpe_50k.json"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [jvm.org.apache.hadoop.fs.Path(str(p)) for p in tmp_path.glob("orc/*.orc")]
+    assert max(jvm.org.apache.orc.OrcFile.createReader(p, jvm.org.apache.orc.OrcFile.readerOptions(conf)).getStripes().size() for p in files) > 1
+    one = library("byte_bpe_50k.json")
+    got = {r.doc_id: r.ids for r in token_output.read_tokens(spark, out).where("doc_id % 997 = 0").collect()}
+    for r in d.where("doc_id % 997 = 0").collect():
+        assert got[r.doc_id] == [*one.encode(r.text, add_special_tokens=False).ids, 0]
+
+
+def test_hot_id_fills_several_ranges(spark):
+    d = spark.range(4000).selectExpr("case when id % 3 = 0 then 7 else id end as doc_id", "concat('t ', id) as text")
+    got = token_output.token_output(d, P.path("byte_bpe_50k.json")).collect()
+    order = sorted(got, key=lambda r: r.start)
+    assert len(got) == 4000 and [r.doc_id for r in order] == sorted(r.doc_id for r in got)
+    assert [r.start for r in order] == [0, *np.cumsum([r.n_tokens for r in order])[:-1].tolist()]
 
 
 ALPHABET = ["a", "B", " ", "  ", "\n", "\n\n", "\t", "'s", "'re", "12", "3", "é", "ß", "—", "!", "?", "\xa0", "\x1c", "\u0301", "中", "<|endoftext|>", "<|startoftext|>", "İ", "Σ", "²", "_", "'", "\x0b", "\x85", "ﬁ", "word ", "😀"]
@@ -134,11 +180,38 @@ def test_pieces_and_counts_equal_the_library():
     assert [token_count.count_tokens(P.path("word_bpe_49k.json"), t) for t in x] == [len(e.ids) for e in word.encode_batch(x, add_special_tokens=False)]
 
 
+def test_other_tokenizers_go_to_the_library():
+    word = library("word_bpe_49k.json")
+    p = token_output.Pieces(word)
+    assert not p.known and token_output.Pieces(library("byte_bpe_50k.json")).known
+    x = ["Some words, 12 of them", "", "x " * 50]
+    assert [a.tolist() for a in p.encode(x)] == [e.ids for e in word.encode_batch(x, add_special_tokens=False)]
+
+
+def test_long_texts_in_segments(monkeypatch):
+    monkeypatch.setattr(token_output, "SEGMENT", 50)
+    tok, rnd = library("byte_bpe_50k.json"), random.Random(7)
+    x = ["".join(rnd.choices([" ", "\n", "  ", "a", " the", "é,", "9", "'s", "!", "中"][: 9 + k % 2], k=400)) for k in range(40)] + ["a" * 500, " " * 300]
+    assert [a.tolist() for a in token_output.Pieces(tok).encode(x)] == [e.ids for e in tok.encode_batch(x, add_special_tokens=False)]
+
+
 def test_overlap_resynchronisation():
     rnd, tok = random.Random(2), library("word_bpe_49k.json")
-    for t in ["".join(rnd.choices(ALPHABET, k=3000)), "a" * 20_000, "中" * 9000, "ab " * 9000, "x" * 4000 + " y" * 4000]:
-        got = [i for p in token_count.spliced(t, lambda s: token_count.encode_offsets(tok, s), chunk=600, overlap=16) for i in p]
-        assert got == tok.encode(t, add_special_tokens=False).ids
+    encode = lambda s: tok.encode(s, add_special_tokens=False)
+    for t in ["", *("".join(rnd.choices(ALPHABET, k=3000)) for _ in range(5)), "a" * 20_000, "中" * 9000, "ab " * 9000, "x" * 4000 + " y" * 4000]:
+        for chunk, overlap in ((600, 16), (100, 8), (64, 64)):
+            assert [i for p in token_count.spliced(t, encode, chunk, overlap) for i in p] == encode(t).ids
+
+
+def test_chunks_stay_small():
+    tok, sizes = library("word_bpe_49k.json"), []
+
+    def encode(s):
+        sizes.append(len(s))
+        return tok.encode(s, add_special_tokens=False)
+
+    n = sum(map(len, token_count.spliced("the word é, " * 40_000, encode)))
+    assert n == len(tok.encode("the word é, " * 40_000, add_special_tokens=False).ids) and max(sizes) <= token_count.CHUNK + token_count.OVERLAP
 
 
 def test_token_counts(odd, none, spark):
@@ -180,6 +253,39 @@ def test_myers_and_leaks_against_brute_force():
         assert {x[0]: x[1] for x in m.leaks(t)} == want
 
 
+def test_short_items_are_whole_words():
+    m = decontaminate.Matcher([(1, "cat"), (2, "a"), (3, "New York")])
+    assert m.leaks("concatenate") == [] and [x[0] for x in m.leaks("The CAT!")] == [1] and [x[0] for x in m.leaks("a new-york")] == [2, 3]
+    assert [x[0] for x in m.leaks("new yorker")] == []
+
+
+def test_leak_span_is_the_passage():
+    rnd = random.Random(15)
+    item = " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(30))
+    for _ in range(30):
+        s = list(item)
+        for _ in range(rnd.randint(0, 8)):
+            k = rnd.randrange(5, len(s) - 5)
+            s[k : k + 1] = rnd.choice([[], ["z"], [s[k], "q"]])
+        text = "xx yy " * rnd.randint(0, 5) + "".join(s) + " zz ww" * rnd.randint(0, 5)
+        (_, d, _, start, end) = decontaminate.Matcher([(1, item)]).leaks(text)[0]
+        whole = decontaminate.normalise(text)[start:end]
+        assert distance(item, whole) == d and abs(len(whole) - len(item)) <= d
+        assert distance(whole, item) <= d
+
+
+def test_long_text_and_several_blocks(spark, monkeypatch):
+    rnd = random.Random(16)
+    items = [(i, " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(20))) for i in range(30)]
+    docs = [(k, "filler words here " * 20_000 * (k == 0) + items[k][1].upper() + " and more") for k in range(10)] + [(None, items[11][1]), (50, "clean text"), (50, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(k, k) for k in range(10)] + [(-1, 11)])
+    for size in (decontaminate.BLOCK_BYTES, 1500):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in decontaminate.find_leaks(d, b).collect()) == want
+        assert [(r.doc_id, r.text) for r in decontaminate.drop_leaks(d, b).collect()] == [(50, "clean text"), (50, None)]
+
+
 def test_leaks_on_tables(spark, sf, docs, texts, odd, none):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
@@ -246,6 +352,72 @@ def test_near_dedup_chains_and_families(spark):
     assert got == brute_groups(texts)
 
 
+def brute_rows(rows):
+    """Components over rows: the rows of one id are one node."""
+    sets = [brute_groups({0: t})[0][0] for _, t in rows]
+    grams = []
+    for _, t in rows:
+        w = [re.sub("[A-Z]+", lambda m: m[0].lower(), x) for x in WORD.findall(t or "")]
+        grams.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            k = len(grams[a] & grams[b])
+            if k and 100 * k >= 75 * (len(grams[a]) + len(grams[b]) - k):
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    return sorted((i, n, top(i)) for (i, _), n in zip(rows, sets))
+
+
+def test_one_id_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=5))
+    a, b = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(40))
+    rows = [(1, a), (2, b), (9, a), (9, b)]
+    passage = [word() for _ in range(70)]
+    rows += [(100 + k, " ".join(passage + [word() for _ in range(20)])) for k in range(120)]
+    rows += [(100 + k % 90, " ".join(passage[:60] + [word() for _ in range(9)])) for k in range(60)]
+    base = [word() for _ in range(90)]
+    for k in range(40):
+        base = list(base)
+        base[rnd.randrange(90)] = word()
+        rows.append((400 + k // 2, " ".join(base)))
+    rows += rows[:30]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_rows(rows)
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """A bucket of 2,000 documents with equal sketches and no link: whatever is compared at once has two blocks' rows."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 128)
+    rnd, n = random.Random(22), 2000
+    sig, bands = bytearray(rnd.randbytes(near_dedup.T)), list(range(near_dedup.BANDS))
+    f = spark.createDataFrame([(k, k, 50, sig, bands, sorted(rnd.getrandbits(62) for _ in range(50))) for k in range(n)], "doc_id long, k1 long, n_shingles long, sig binary, bands array<long>, shingles array<long>")
+    none = spark.createDataFrame([], "node long, root long")
+    seen = {}
+
+    def watch(num, den):
+        def run(batches):
+            for b in batches:
+                for k in zip(*(b.column(c).to_pylist() for c in (1, 2))):
+                    seen[k] = seen.get(k, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*((10**6 + a * 1000 + b, c) for (a, b), c in seen.items()))], names=["u", "v"])
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_block_links", watch)
+    rows = near_dedup._cross_links(f.selectExpr("cast(0 as long) as bucket", "doc_id", "k1"), none, f.drop("shingles"), f.select("doc_id", "k1", "shingles"), 75, 100)
+    sizes = [r.u for r in rows.collect()]
+    assert len(sizes) > 16 * 15 / 2 and max(sizes) < 2 * 128 * 1.5
+
+
 def test_near_dedup_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ROWS)
@@ -296,28 +468,101 @@ def test_quality_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
-def test_quality_odd_rows(odd, none, spark):
-    labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    got = quality_classifier.quality_scores(odd, labels).collect()
-    assert len(got) == len(ROWS) and all(r.score == 1 for r in got)
-    assert quality_classifier.quality_scores(none, labels.limit(0)).count() == 0
-    assert quality_classifier.keep_good(odd, labels).columns == odd.columns
+def test_quality_at_the_smallest_scale(spark, sf, docs):
+    """Eight rows of one class are enough."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    got = quality_classifier.quality_scores(docs, labels).collect()
+    held = [r for r in got if r.held_out and r.doc_id in y]
+    assert len({r.score for r in got}) > 20 and sum(r.predicted == y[r.doc_id] for r in held) >= 0.9 * len(held)
+    kept = {r.doc_id for r in quality_classifier.keep_good(docs, labels).collect()}
+    assert kept == {r.doc_id for r in got if r.predicted} and 0 < len(kept) < len(got)
+
+
+def test_quality_odd_rows(odd, none, spark, docs, sf):
+    """Null, empty and very long texts through a model that knows both classes."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    labels = labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(None, 1), (5, None), (6, 7)], "doc_id long, quality int"), allowMissingColumns=True)
+    x = docs.select("doc_id", "text").unionByName(odd.selectExpr("doc_id + 1000000 as doc_id", "text")).selectExpr("*", "1 as score", "2 as x", "'k' as y")
+    got = [r for r in quality_classifier.quality_scores(x, labels).collect() if r.doc_id is None or r.doc_id >= 1_000_000]
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got}) > 2
+    by = {}
+    for r in got:
+        assert by.setdefault(r.doc_id, r.score) == r.score  # repeated rows agree
+    assert by[1_000_001] == by[1_000_002] and not any(r.predicted for r in got if r.doc_id == 1_000_005)
+    kept = quality_classifier.keep_good(x, labels)
+    assert kept.columns == x.columns and 0 < kept.count() < x.count()
+    one = spark.createDataFrame([(4, 1)], "doc_id long, quality int")
+    assert {r.score for r in quality_classifier.quality_scores(odd, one).collect()} == {1.0}  # one class only
+    pair = spark.createDataFrame([(5, 1), (7, 0)], "doc_id long, quality int")
+    assert len({r.score for r in quality_classifier.quality_scores(odd, pair, folds=1000).collect()}) > 1
+    assert quality_classifier.quality_scores(none, labels).count() == 0 and quality_classifier.keep_good(none, labels).count() == 0
+
+
+def test_statistics_against_brute_force():
+    at = {n: i for i, n in enumerate(quality_classifier.NAMES)}
+    for t in ["", None, "One two two. THREE!! 4#", "É a\nÉ a\nb, c; d", "x " * 300, "a b c a b c a b c longerthantwelve"]:
+        s, raw = t or "", (t or "").encode()
+        w = s.split()
+        n, m = len(raw) + 60, len(w) + 10
+        v = quality_classifier.statistics(t)
+        lines = [x for x in s.split("\n") if x.strip()]
+        assert v[at["words"]] == pytest.approx(math.log(m))
+        assert v[at["digits"]] == pytest.approx(math.sqrt(sum(c.isdigit() for c in s) / n))
+        assert v[at["upper"]] == pytest.approx(math.sqrt(sum(c.isupper() for c in s) / n))
+        assert v[at["bangs"]] == pytest.approx(math.sqrt(s.count("!") / n))
+        assert v[at["repeats"]] == pytest.approx(math.sqrt(sum(a == b for a, b in zip(w, w[1:])) / m))
+        assert v[at["dup_lines"]] == pytest.approx(math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 2)))
+        assert v[at["long_words"]] == pytest.approx(math.sqrt(sum(len(x.encode()) > 12 for x in w) / m))
+        assert v[at["distinct"]] == pytest.approx(math.log(len(set(w)) + 10) / math.log(m))
+
+
+def density(x, q):
+    """The shrunk class densities, directly."""
+    d, n = q.shape[1], [len(a) for a in x]
+    covs = [np.cov(a.T, bias=True) for a in x]
+    pooled = (n[0] * covs[0] + n[1] * covs[1] + np.eye(d)) / sum(n)
+    s = np.sqrt(np.diag(pooled))
+
+    def share(c, k, t):
+        e = ((c * c.T).sum() + np.trace(c) ** 2) / (k - 1)
+        gap = ((c - t) ** 2).sum()
+        return min(1, e / gap) if gap > 0 else 1
+
+    unit = pooled / s[:, None] / s
+    a = share(unit, sum(n), np.eye(d))
+    unit = (1 - a) * unit + a * np.eye(d)
+    logs = []
+    for rows, c, k in zip(x, covs, n):
+        c = c / s[:, None] / s
+        a = 0.1 + 0.9 * share(c, k, unit)
+        c = (0.98 * ((1 - a) * c + a * unit) + 0.02 * np.eye(d)) * s[:, None] * s
+        e = q - rows.mean(0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", e, np.linalg.inv(c), e) + np.linalg.slogdet(c)[1]) + math.log(k))
+    return logs[1] - logs[0]
 
 
-def test_discriminant_against_density():
+@pytest.mark.parametrize("sizes", [(400, 900), (3, 40)])
+def test_discriminant_against_density(sizes):
     rnd = np.random.default_rng(2)
     d = quality_classifier.DIM
-    x = [rnd.normal(0, 1, (400, d)), rnd.normal(0.7, 1.3, (900, d))]
+    x = [rnd.normal(0, 1, (sizes[0], d)), rnd.normal(0.7, 1.3, (sizes[1], d))]
     m = quality_classifier.Model(np.array([np.concatenate([[len(a)], a.sum(0), (a.T @ a).ravel()]) for a in x]))
     q = rnd.normal(0.3, 1, (5, d))
-    covs = [np.cov(a.T, bias=True) for a in x]
-    pooled = (400 * covs[0] + 900 * covs[1]) / 1300
-    logs = []
-    for a, c in zip(x, covs):
-        c = 0.88 * c + 0.1 * pooled + 0.02 * np.diag((np.sqrt(np.diag(pooled)) + 1e-6) ** 2)
-        e = q - a.mean(0)
-        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", e, np.linalg.inv(c), e) + np.linalg.slogdet(c)[1]) + math.log(len(a)))
-    assert np.allclose(m.difference(q), logs[1] - logs[0])
+    assert np.allclose(m.difference(q), density(x, q))
+
+
+def test_calibration_is_the_maximum():
+    rnd = np.random.default_rng(3)
+    for scale in (1, 10, 60):
+        bins = [(b * 0.5, float(k), float(n)) for b in range(-scale, scale + 1) for n in [rnd.integers(1, 200)] for k in [rnd.binomial(n, 1 / (1 + math.exp(-0.4 * b - 0.3)))]]
+        m = quality_classifier.Model(np.ones((2, 1 + quality_classifier.DIM * (1 + quality_classifier.DIM))))
+        m.calibrate(bins)
+        one, zero = sum(k for _, k, _ in bins), sum(n - k for _, k, n in bins)
+        aim = [(d, k * (one + 1) / (one + 2) + (n - k) / (zero + 2), n) for d, k, n in bins]
+        gain = lambda a, b: sum(k * (a * d + b) - n * math.log1p(math.exp(a * d + b)) for d, k, n in aim) - 5e-4 * (a * a + b * b)  # noqa: E731, B023
+        best = gain(m.slope, m.shift)
+        assert all(best >= gain(m.slope + x, m.shift + y) for x in (-0.01, 0, 0.01) for y in (-0.01, 0, 0.01))
 
 
 # op7
@@ -380,6 +625,13 @@ def test_url_odd_rows(spark):
     allow, block = ["example.net/en/", "org/fr/"], ["net/", "example.com/de/"]
     got = {r.page_id: (r.host, r.path, r.rule) for r in url_filter.url_filter(d, allow, block).collect()}
     assert got == {i: brute_url(u, allow, block) for i, u in enumerate(urls)}
+    long = spark.createDataFrame([(None, "http://a.example.net/en/" + "x" * 200_000), (3, "http://b.com/q"), (3, "http://b.com/q")], "page_id long, url string")
+    out = url_filter.url_filter(d.select("page_id", "url").unionByName(long), allow, block).collect()
+    assert [(len(r.path), r.rule) for r in out if r.page_id is None] == [(200_004, "example.net/en/")]
+    again = [(r.host, r.path, r.rule, r.verdict, r.score) for r in out if r.page_id == 3 and r.host == "b.com"]
+    assert len(again) == 2 and again[0] == again[1]
+    tie = url_filter.url_filter(long, ["b.com/q"], ["com/q", "b.com/"]).collect()
+    assert {r.rule for r in tie if r.page_id == 3} == {"b.com/q"}
     assert {r.verdict for r in url_filter.url_filter(d, [], ["net/"]).collect() if not r.rule} == {"allow"}
     assert url_filter.url_filter(d.limit(0), allow, block).count() == 0
 
@@ -397,10 +649,62 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_odd_rows(odd, none):
-    got = language_id.identify(odd).collect()
-    assert len(got) == len(ROWS) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
-    assert {r.lang_pred for r in got} <= {"und", "en", "fr"} and all(0 <= r.score <= 1 for r in got)
-    assert language_id.identify(none).count() == 0
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in language_id.identify(odd).collect()}
+    assert {got[i][1:] for i in (1, 2, 3)} == {("und", 0.0)}
+    assert got[5][1] == "en" and got[4][1] == "en" and got[None][1] in ("en", "fr") and all(0 <= v[2] <= 1 for v in got.values())
+    assert all(v[0] == (zlib.crc32(b"" if i is None else str(i).encode()) % 4 == 2) for i, v in got.items())
+    assert len(language_id.identify(odd).collect()) == len(ROWS) and language_id.identify(none).count() == 0
+
+
+def test_language_votes_and_families_against_brute_force():
+    """Random machines: the family of the largest margin, then the language with most votes, ties by margins."""
+    rnd = np.random.default_rng(5)
+    codes = {c: language_id.FAMILY.get(c, c) for c in ["en", "de", "nl", "sv", "fr", "es", "it", "ru", "uk", "xx", "yy"]}
+    within = {}
+    for c in sorted(codes):
+        within.setdefault(codes[c], []).append(c)
+    machines = {(f, "", ""): rnd.normal(size=language_id.DIM + 1).astype(np.float32) for f in within}
+    machines |= {(f, a, b): rnd.normal(size=language_id.DIM + 1).astype(np.float32) for f, cs in within.items() for i, a in enumerate(cs) for b in cs[i + 1 :]}
+    m = language_id.Model(codes, machines)
+    margin = lambda k, x: float(machines[k][:-1] @ x + machines[k][-1])
+    for _ in range(60):
+        x = rnd.normal(size=language_id.DIM).astype(np.float32)
+        f = max(sorted(within), key=lambda f: margin((f, "", ""), x))
+        votes = {c: 0.0 for c in within[f]}
+        for i, a in enumerate(within[f]):
+            for b in within[f][i + 1 :]:
+                v = margin((f, a, b), x)
+                votes[a if v >= 0 else b] += 1
+                votes[a] += 1e-3 * math.tanh(v)
+                votes[b] -= 1e-3 * math.tanh(v)
+        assert m.family(x)[0] == f and m.language(f, x)[0] == max(sorted(votes), key=votes.get)
+
+
+def test_machine_is_the_optimum():
+    """The weights minimise the regularised squared hinge loss: no small step lowers it."""
+    rnd = np.random.default_rng(6)
+    x, y = rnd.normal(size=(60, 5)).astype(np.float32), np.repeat([1.0, -1.0], 30)
+    x[:30] += 0.8
+    w = language_id.svm(x, y, c=1.0, epochs=2000)
+    z = np.hstack([x, np.ones((60, 1))])
+    loss = lambda v: 0.5 * v @ v + (np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+    assert all(loss(w) <= loss(w + 0.01 * s) for s in [*np.eye(6), *-np.eye(6)])
+
+
+def test_many_languages(spark, monkeypatch):
+    """Seventy languages, of which a table of common codes knows few: each is learned."""
+    rnd = random.Random(23)
+    words = {f"l{k:02d}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 7))) for _ in range(40)] for k in range(68)} | {"en": ["the", "of", "house", "with"], "de": ["der", "haus", "mit", "und"]}
+    rows = [(i * 100 + k, " ".join(rnd.choices(w, k=60)), c) for i, (c, w) in enumerate(words.items()) for k in range(24)]
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(got[i][1], c) for i, _, c in rows if got[i][0]]
+    assert len({c for _, c in held}) > 64 and sum(a == b for a, b in held) > 0.97 * len(held)
+
+
+def test_sample_is_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 5)
+    got = language_id.sample(docs.unionByName(docs), 4, 2).groupBy("lang").count().collect()
+    assert {r["count"] for r in got} == {5}
 
 
 # op9
@@ -447,6 +751,48 @@ def test_mix(spark, seed):
     assert all(abs(words[s] - taken[s]) <= 0.1 * taken[s] + 800 for s in taken)
 
 
+def test_blocks_against_brute_force(spark, monkeypatch):
+    """Block by block: the words a document has in the blocks that its shard's seeded permutation picks."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rnd = random.Random(31)
+    many = [(i, " ".join(["w"] * rnd.choice([0, 1, 3, 50, 400])), rnd.choice(["a", "b", "b", None])) for i in range(300)]
+    d = spark.createDataFrame(many, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(d).collect()}
+    h = {r.doc_id: r.h for r in d.selectExpr("doc_id", f"xxhash64(doc_id, cast(size(filter(split(text, ' '), x -> x <> '')) as long), {mixing.SEED}) h").collect()}
+    rank = {s: i + 1 for i, s in enumerate(["a", "b", None])}
+    size, source = {r: got[r]["size"] for r in got}, {i: s for i, _, s in many}
+    sums, shards = Counter(), {}
+    for i, s in source.items():
+        sums[s] += size[i]
+    for i, s in source.items():
+        if size[i]:
+            shards.setdefault((s, h[i] % max(1, -(-sums[s] // 2000))), []).append(i)
+    n = {k: max(1, math.floor(sum(size[i] for i in v) / mixing.BLOCK + 0.5)) for k, v in shards.items()}
+    targets = brute_targets(sums)
+    blocks = {s: sum(v for (t, _), v in n.items() if t == s) for s in sums}
+    wanted = [targets[s] * blocks[s] / sums[s] for s in rank]
+    per = dict(zip(rank, mixing.sainte_lague(wanted, round(sum(wanted)), [mixing.CAP * blocks[s] for s in rank])))
+    cells = {tuple(r)[:2]: r.c for r in spark.createDataFrame([(rank[s], k) for s, k in shards], "rank int, shard long").selectExpr("rank", "shard", f"xxhash64(rank, shard, {mixing.SEED + 1}) c").collect()}
+    for s in rank:
+        own = sorted(k for t, k in shards if t == s)
+        teams = sorted({k // 3 for k in own})
+        team_n = [sum(n[s, k] for k in own if k // 3 == g) for g in teams]
+        for g, q in zip(teams, mixing.sainte_lague([float(x) for x in team_n], per[s], [mixing.CAP * x for x in team_n])):
+            mine = [k for k in own if k // 3 == g]
+            for k, quota in zip(mine, mixing.sainte_lague([float(n[s, k]) for k in mine], q, [mixing.CAP * n[s, k] for k in mine])):
+                ids = sorted(shards[s, k], key=lambda i: (h[i], i))
+                words = [i for i in ids for _ in range(size[i])]
+                c, m = cells[rank[s], k], n[s, k]
+                step, shift = mixing.STEPS[c % len(mixing.STEPS)] % m, (c >> 8) % m
+                taken = Counter()
+                for b in range(m):
+                    times = quota // m + ((b * step + shift) % m < quota % m)
+                    for i in words[b * len(words) // m : (b + 1) * len(words) // m]:
+                        taken[i] += times
+                assert all(got[i].taken == taken[i] for i in ids)
+
+
 def test_sainte_lague_is_highest_quotients():
     rnd = random.Random(8)
     for _ in range(60):
@@ -462,8 +808,12 @@ def test_sainte_lague_is_highest_quotients():
 def test_mix_odd_rows(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ROWS) and all(r.taken <= 3 * r["size"] for r in got)
+    by = {(r.doc_id, r["size"]): r for r in got}
+    assert all(by[i, 0].taken == 0 for i in (1, 2, 3)) and by[5, 150_000].taken > 0 and sum(r.taken for r in got) > 0
     assert mixing.mix(none).count() == 0 and mixing.mix_rows(none).count() == 0
-    assert mixing.mix_rows(odd).columns == odd.columns
+    x = odd.selectExpr("*", "7 as _size", "8 as size_", "9 as copy")
+    out = mixing.mix_rows(x)
+    assert out.columns == x.columns and {(r._size, r.size_, r.copy) for r in out.collect()} == {(7, 8, 9)}
 
 
 # op10
@@ -498,6 +848,29 @@ def test_rules_keep_clean_documents(spark):
     assert sum(clean) / len(clean) > 0.98 and sum(junk) / len(junk) < 0.25
 
 
+def test_rules_of_many_languages(spark):
+    """Forty languages of their own words; documents without lang take the language whose common words they hold."""
+    rnd = random.Random(41)
+    rows, bad = [], []
+    for k in range(40):
+        letters = "".join(rnd.sample("abcdefghijklmnopqrstuvwxyz" if k % 2 else "абвгдежзиклмнопрстуфхцчшэюя", 16))
+        words = ["".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(60)]
+        text = lambda: " ".join(rnd.choices(words, weights=[40] * 6 + [1] * 54, k=300))  # noqa: B023, E731
+        rows += [(k * 100 + i, text(), f"l{k:02d}") for i in range(20)] + [(k * 100 + 50, text(), None)]
+        bad.append((k * 100 + 60, " ".join("".join(rnd.choices("qxzwk", k=5)) for _ in range(300)), f"l{k:02d}"))
+    d = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(d).collect()}
+    assert all(got[i] for i, *_ in rows) and sum(got[i] for i, *_ in bad) <= 1
+
+
+def test_common_words_by_documents(spark, docs):
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r.lang, Counter()).update({w for w in WORD.findall(r.text or "") if len(w) <= quality_rules.LONGEST})
+    got = {r.lang: r.known for r in quality_rules.common_words(docs).collect()}
+    assert got == {k: sorted(w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON]) for k, c in want.items()}
+
+
 def test_rules_odd_rows(odd, none):
     got = quality_rules.quality_rules(odd).collect()
     assert Counter((r.doc_id, counts(r)) for r in got) == Counter((i, brute_rules(t)) for i, t, *_ in ROWS)
@@ -505,8 +878,8 @@ def test_rules_odd_rows(odd, none):
 
 
 def test_js_distance(spark):
-    x = spark.range(1).selectExpr("array(3L, 1L, 0L) h")
-    got = x.select(quality_rules.js_distance(x.h, 4, [0.25, 0.25, 0.5])).first()[0]
+    x = spark.range(1).selectExpr("array(3L, 1L, 0L) h", "4L n", "array(0.25D, 0.25D, 0.5D) q")
+    got = x.select(quality_rules.js_distance(x.h, x.n, x.q)).first()[0]
     p, q = [0.75, 0.25, 0], [0.25, 0.25, 0.5]
     kl = lambda a, b: sum(u * math.log2(u / v) for u, v in zip(a, b) if u)
     m = [(u + v) / 2 for u, v in zip(p, q)]

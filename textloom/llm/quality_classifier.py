@@ -30,8 +30,8 @@ from textloom.llm._common import claim, crc_mod, materialise, release, ship, sli
 THRESHOLD = 0.3
 #: The least shares of the pooled covariance and of the identity in a class's covariance.
 POOL, RIDGE = 0.1, 0.02
-#: Bins of log density differences for the logistic fit.
-BIN, LIMIT = 0.5, 100
+#: Width and bound of the bins of log density differences for the logistic fit.
+BIN, LIMIT = 0.5, 200
 #: Added to counts of bytes and words, so that a short text is not an outlier by its length alone.
 PRIOR_BYTES, PRIOR_WORDS = 60, 10
 NAMES = ["words", "word_length", "upper", "digits", "symbols", "bangs", "stops", "commas", "non_ascii", "distinct", "repeats", "dup_lines", "line_words", "long_words", "short_words", "dup_windows"]
@@ -92,9 +92,10 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shrinkage(cov: np.ndarray, n: float, target: np.ndarray) -> float:
     """The share of target in the covariance of n rows that has the least expected squared error if rows are normal:
-    the error of cov by its own traces over its squared distance from target."""
-    error = (np.trace(cov @ cov) + np.trace(cov) ** 2) / n
-    return float(min(1.0, error / max(error, ((cov - target) ** 2).sum())))
+    the error of cov by its own traces over its squared distance from target. A single row has no covariance of its own."""
+    error = (np.trace(cov @ cov) + np.trace(cov) ** 2) / (n - 1) if n > 1 else math.inf
+    distance = ((cov - target) ** 2).sum()
+    return 1.0 if error >= distance else float(error / distance)
 
 
 class Model:
@@ -112,9 +113,9 @@ class Model:
             return
         self.mean = sums[:, 1 : 1 + DIM] / n[:, None]
         cov = [s[1 + DIM :].reshape(DIM, DIM) / c - np.outer(m, m) for s, c, m in zip(sums, n, self.mean)]
-        pooled = (n[0] * cov[0] + n[1] * cov[1]) / n.sum()
-        scale = np.sqrt(np.maximum(np.diag(pooled), 0) + 1 / n.sum())
-        unit, eye = np.outer(scale, scale), np.eye(DIM)
+        eye = np.eye(DIM)
+        pooled = (n[0] * cov[0] + n[1] * cov[1] + eye) / n.sum()
+        unit = np.sqrt(np.outer(np.diag(pooled), np.diag(pooled)))
         pooled = pooled / unit
         share = shrinkage(pooled, n.sum(), eye)
         pooled = (1 - share) * pooled + share * eye
@@ -129,20 +130,21 @@ class Model:
         self.slope, self.shift = 1.0, 0.0
 
     def difference(self, x: np.ndarray) -> np.ndarray:
-        """The log density of class 1 less that of class 0, priors included, within LIMIT."""
+        """The log density of class 1 less that of class 0, priors included."""
         d = [((x - m) @ f.T) for m, f in zip(self.mean, self.factor)]
-        out = 0.5 * ((d[0] ** 2).sum(1) + self.det[0] - (d[1] ** 2).sum(1) - self.det[1]) + self.prior
-        return np.clip(out, -LIMIT, LIMIT)
+        return 0.5 * ((d[0] ** 2).sum(1) + self.det[0] - (d[1] ** 2).sum(1) - self.det[1]) + self.prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.known:
             return np.ones(len(x))
-        return np.round(1 / (1 + np.exp(-np.clip(self.slope * self.difference(x) + self.shift, -60, 60))), 9)
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(x) + self.shift, -600, 600)))
 
     def calibrate(self, bins: list[tuple[float, float, float]]) -> None:
-        """A logistic fit to rows (difference, rows of class 1, rows), one pseudo-row of each class added, by Newton's steps,
-        each halved until the penalised log likelihood does not fall."""
-        d, pos, n = np.array([(0.0, 1.0, 2.0), *bins]).T
+        """A logistic fit to rows (difference, rows of class 1, rows) by Newton's steps, each halved until the penalised log
+        likelihood does not fall. A class of k rows aims at probability (k + 1) / (k + 2), so that separable ones fit too."""
+        d, pos, n = np.array(bins).T
+        ones, zeros = pos.sum(), (n - pos).sum()
+        pos = pos * (ones + 1) / (ones + 2) + (n - pos) / (zeros + 2)
         z = np.stack([d, np.ones_like(d)])
 
         def gain(a):
@@ -173,7 +175,7 @@ def fit(train: DataFrame) -> Model:
 
         def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = np.round(model.difference(_matrix(b.column(0))) / BIN).astype(np.int32)
+                at = np.round(np.clip(model.difference(_matrix(b.column(0))), -LIMIT, LIMIT) / BIN).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1).cast(pa.int64())], names=["bin", "y"])
 
         bins = train.select("x", "y").mapInArrow(binned, "bin int, y long").groupBy("bin").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()

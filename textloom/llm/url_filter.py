@@ -10,8 +10,9 @@ Characters are folded to 34 classes, so a model is a table of 34 cubed log ratio
 array in the plan, and scoring shuffles nothing.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path; no rule fits it and the model judges the empty
-text; where no URL is accepted or none is rejected by rules, the rest is allowed; rows come one for one, repeated rows and
-null ids too; other columns are ignored.
+text; very long URLs are scored whole; of rules of one length that fit, the last by code point decides; a score at the threshold
+is allowed; where no URL is accepted or none is rejected by rules, the rest is allowed; rows come one for one, repeated rows
+and null ids too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
