@@ -554,7 +554,7 @@ def test_discriminant_against_density(sizes):
 
 def test_calibration_is_the_maximum():
     rnd = np.random.default_rng(3)
-    for scale in (1, 10, 60):
+    for scale in (1, 10, 16):
         bins = [(b * 0.5, float(k), float(n)) for b in range(-scale, scale + 1) for n in [rnd.integers(1, 200)] for k in [rnd.binomial(n, 1 / (1 + math.exp(-0.4 * b - 0.3)))]]
         m = quality_classifier.Model(np.ones((2, 1 + quality_classifier.DIM * (1 + quality_classifier.DIM))))
         m.calibrate(bins)
