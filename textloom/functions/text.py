@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Phrases that mark page furniture, the ends of valid lines, and the patterns of citations.
-BOILERPLATE = ("all rights reserved", "terms of service", "privacy policy", "cookie policy", "sign up", "log in", "subscribe", "click here", "share on")
+BOILERPLATE = ("terms of use", "privacy policy", "cookie policy", "uses cookies", "use of cookies", "use cookies", "terms and conditions", "all rights reserved", "see ap.org")
 LINE_ENDS = (".", "!", "?", '"', "'")
 CITATION = r"(?i)\[\d+\]|\[citation needed\]"
 
@@ -24,9 +24,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: White space of any script, and the four separators below it.
+SPACE = r"[\s\x1C-\x1F]"
+
+
+def strip(text) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(_col(text), rf"(?U)^{SPACE}+|{SPACE}+$", "")
+
+
 def words(text, unicode_space: bool = True) -> Column:
     """Runs of anything but white space; Unicode spaces part words too unless told otherwise."""
-    return F.filter(F.split(_col(text), r"(?U)\s+" if unicode_space else r"\s+"), lambda w: w != "")
+    return F.filter(F.split(_col(text), rf"(?U){SPACE}+" if unicode_space else r"\s+"), lambda w: w != "")
 
 
 def word_count(text) -> Column:
@@ -41,7 +50,7 @@ def estimated_tokens(text, per_word: float = 1.3) -> Column:
 def sentences(text) -> Column:
     """A deterministic splitter: a sentence ends after . ! or ? (and closing quotes or brackets) before white space."""
     marked = F.regexp_replace(_col(text), r"([.!?]+[\"')\]]*)\s+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
 
 
 def _windows(items: Column, n: int, count: Column, each) -> Column:
@@ -67,7 +76,7 @@ def sentence_trigram_hashes(text) -> Column:
 
 def line_is_valid(line: Column, min_words: int = 5) -> Column:
     """A trimmed line that does not start with the copyright sign, has enough words and ends a sentence."""
-    s = F.trim(line)
+    s = strip(line)
     return ~s.startswith("©") & (F.size(words(s)) >= min_words) & F.right(s, F.lit(1)).isin(*LINE_ENDS)
 
 
@@ -88,10 +97,9 @@ def strip_citations(line: Column) -> Column:
 
 
 def clean_lines(text) -> Column:
-    """The text's valid lines, each judged before its citations are stripped, joined again."""
+    """The text's valid lines as they are, but for their citations; each is judged before those are stripped."""
     kept = F.filter(F.split(_col(text), "\n"), lambda x: line_is_valid(x) & ~has_script_notice(x) & ~has_boilerplate(x))
-    cited = F.filter(F.transform(kept, lambda x: F.trim(strip_citations(F.trim(x)))), lambda x: x != "")
-    return F.array_join(cited, "\n")
+    return F.array_join(F.transform(kept, strip_citations), "\n")
 
 
 def has_brace(text) -> Column:
@@ -128,9 +136,22 @@ def repeat_ratio(text, n: int = 3) -> Column:
     return let(g, lambda x: F.when(F.size(x) > 0, 1 - F.size(F.array_distinct(x)) / F.size(x)).otherwise(F.lit(0.0)))
 
 
-def passes_quality(text, min_alpha: float = 0.4, max_caps: float = 0.4, max_repeat: float = 0.25) -> Column:
+def figures(text) -> Column:
+    """struct(n_words, alpha, caps, repeated): the words are split once."""
     t = _col(text)
-    return (F.size(words(t)) > 0) & (alpha_ratio(t) >= min_alpha) & (caps_ratio(t) <= max_caps) & (repeat_ratio(t) <= max_repeat)
+    caps = lambda x: x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}") & (F.length(x) > 2)
+    grams = lambda w: _windows(w, 3, lambda x: F.size(x) - 2, lambda x, i: F.array_join(F.slice(x, i, 3), " "))
+    repeated = lambda w: F.coalesce(let(grams(w), lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g)), F.lit(0.0))
+    one = lambda w: F.struct(F.size(w).alias("n_words"), alpha_ratio(t).alias("alpha"), (F.size(F.filter(w, caps)) / F.greatest(F.size(w), F.lit(1))).alias("caps"), repeated(w).alias("repeated"))
+    return let(words(t), one)
+
+
+def passes_figures(f: Column, min_alpha: float = 0.4, max_caps: float = 0.4, max_repeat: float = 0.25) -> Column:
+    return (f["n_words"] > 0) & (f["alpha"] >= min_alpha) & (f["caps"] <= max_caps) & (f["repeated"] <= max_repeat)
+
+
+def passes_quality(text, min_alpha: float = 0.4, max_caps: float = 0.4, max_repeat: float = 0.25) -> Column:
+    return let(figures(text), lambda f: passes_figures(f, min_alpha, max_caps, max_repeat))
 
 
 def passes_length(text, least: int = 20, most: int = 8000) -> Column:
@@ -143,13 +164,18 @@ def score_passes(score, min_score: float) -> Column:
 
 
 def not_blank(text) -> Column:
-    return _col(text).isNotNull() & (F.trim(_col(text)) != "")
+    return _col(text).isNotNull() & (strip(text) != "")
 
 
 def normalise_space(text) -> Column:
-    """Runs of spaces to one, four newlines or more to two, trimmed; single tabs and newlines stay."""
-    t = F.regexp_replace(_col(text), r"[^\S\n\t\r]+", " ")
-    return F.trim(F.regexp_replace(t, r"\n{4,}", "\n\n"))
+    """Runs of spaces to one, four newlines or more to two, stripped; tabs, carriage returns and newlines stay."""
+    t = F.regexp_replace(_col(text), rf"(?U)[{SPACE}&&[^\n\t\r]]+", " ")
+    return strip(F.regexp_replace(t, r"\n{4,}", "\n\n"))
+
+
+def normalise(text) -> Column:
+    """ASCII letters for accented ones, everything else beyond ASCII left out, then normalised spaces."""
+    return normalise_space(fold_ascii(_col(text)))
 
 
 @F.pandas_udf(StringType())

@@ -12,10 +12,11 @@ from textloom.operators.storage import checkpointed
 from textloom.registry import query, read
 
 WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
-LINE_OK = "(not starts_with(trim(x), '©') and len(list_filter(regexp_split_to_array(trim(x), '\\s+'), lambda w: w <> '')) >= 5 and right(trim(x), 1) in ('.', '!', '?', '\"', ''''))"
-PHRASES = " or ".join(f"contains(lower(x), '{p}')" for p in tx.BOILERPLATE)
-CLEAN = f"""array_to_string(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: {LINE_OK} and not contains(lower(x), 'javascript') and not ({PHRASES})),
-  lambda x: trim(regexp_replace(trim(x), '\\[\\d+\\]|\\[citation needed\\]', '', 'gi'))), lambda x: x <> ''), chr(10))"""
+STRIP = r"regexp_replace({0}, '^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$', '', 'g')"
+LINE_OK = f"(not starts_with({STRIP.format('x')}, '©') and len(list_filter(regexp_split_to_array({STRIP.format('x')}, '\\s+'), lambda w: w <> '')) >= 5 and right({STRIP.format('x')}, 1) in ('.', '!', '?', '\"', ''''))"
+PHRASES = "regexp_matches(lower(x), 'terms of use|privacy policy|cookie policy|uses cookies|use of cookies|use cookies|terms and conditions|all rights reserved|see ap\\.org')"
+CLEAN = f"""array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: {LINE_OK} and not contains(lower(x), 'javascript') and not ({PHRASES})),
+  lambda x: regexp_replace(x, '\\[\\d+\\]|\\[citation needed\\]', '', 'gi')), chr(10))"""
 SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+["'')\]]*)\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"""
 ALPHA = r"(length(regexp_replace(text, '[^\p{L}]', '', 'g')) / greatest(length(text), 1)::double)"
 CAPS = r"(len(list_filter(w, lambda x: regexp_matches(x, '\p{Lu}') and not regexp_matches(x, '\p{Ll}') and length(x) > 2)) / greatest(len(w), 1)::double)"
@@ -53,7 +54,8 @@ def document_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c09_c12_quality_ratios", f"select doc_id, round({ALPHA}, 6) alpha, round({CAPS}, 6) caps, round({REPEAT}, 6) repeated, len(w) > 0 and {ALPHA} >= 0.4 and {CAPS} <= 0.4 and {REPEAT} <= 0.25 passes from ({BASE})")
 def quality_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.round(tx.alpha_ratio("text"), 6).alias("alpha"), F.round(tx.caps_ratio("text"), 6).alias("caps"), F.round(tx.repeat_ratio("text"), 6).alias("repeated"), tx.passes_quality("text").alias("passes"))
+    x = docs(spark, d).select("doc_id", tx.figures("text").alias("f"))
+    return x.select("doc_id", *[F.round(f"f.{c}", 6).alias(c) for c in ("alpha", "caps", "repeated")], tx.passes_figures(F.col("f")).alias("passes"))
 
 
 @query("c13_length_window", f"select doc_id, len(w)::bigint n_words, len(w) between 20 and 8000 passes from ({BASE})")
@@ -145,30 +147,53 @@ def fold_ascii(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.md5(tx.fold_ascii("text")).alias("folded_md5"))
 
 
-@query("l02_normalise_space", r"select doc_id, md5(trim(regexp_replace(regexp_replace(text, '[^\S\n\t\r]+', ' ', 'g'), '\n{4,}', chr(10) || chr(10), 'g'))) norm_md5 from documents")
+def norm(t: str) -> str:
+    return STRIP.format(rf"regexp_replace(regexp_replace({t}, '[ \x0b\x0c\x1c-\x1f]+', ' ', 'g'), '\n{{4,}}', chr(10) || chr(10), 'g')")
+
+
+@query("l02_normalise_space", f"select doc_id, md5({norm('text')}) norm_md5 from documents")
 def normalise_space(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.md5(tx.normalise_space("text")).alias("norm_md5"))
 
 
-STAGES = f"""select doc_id, source, md5(text) h, case when lang <> 'en' then 'language' when contains(text, '{{') or regexp_matches(text, 'lorem ipsum', 'i') then 'document' when len(w) not between 20 and 8000 then 'length'
+#: A stand-in for the profanity list, which is a parameter.
+BAD = ["scum", "worthless"]
+FOLDED = norm(r"regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')")
+STAGES = f"""select doc_id, source, md5(text) h, case when lang <> 'en' then 'language' when rejected then 'document' when {STRIP.format('text')} = '' then 'empty' when len(w) not between 20 and 8000 then 'length'
   when not (len(w) > 0 and {ALPHA} >= 0.4 and {CAPS} <= 0.4 and {REPEAT} <= 0.25) then 'quality' when len({SENTENCES}) < 3 then 'sentences' end reason, len(w) * 1.3::double est
-  from (select doc_id, source, lang, text, {WORDS} w from (select doc_id, source, lang, {CLEAN} text from documents))"""
+  from (select *, {WORDS} w from (select doc_id, source, lang, rejected, {CLEAN} text from (select *, contains(text, '{{') or regexp_matches(text, 'lorem ipsum', 'i') or regexp_matches(lower(text), '\\b(?:scum|worthless)\\b') rejected
+  from (select doc_id, source, lang, {FOLDED} text from documents))))"""
 
 
 def reasons(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, source, h, est and the reason of the first rule that rejects a document's cleaned text."""
-    x = docs(spark, d).select("doc_id", "source", "lang", tx.clean_lines("text").alias("text"))
-    reason = F.when(F.col("lang") != "en", "language").when(tx.has_brace("text") | tx.has_placeholder("text"), "document").when(~tx.passes_length("text"), "length").when(~tx.passes_quality("text"), "quality").when(F.size(tx.sentences("text")) < 3, "sentences")
+    """doc_id, source, text (cleaned), h, est and the reason of the first rule that rejects a document: the language, then on the
+    normalised text the document's rejects, its lines, and on what these leave its length, figures and sentences."""
+    x = docs(spark, d).select("doc_id", "source", "lang", tx.normalise("text").alias("text"))
+    rejected = tx.has_brace("text") | tx.has_placeholder("text") | tx.has_bad_word("text", BAD)
+    x = x.select("doc_id", "source", "lang", rejected.alias("rejected"), tx.clean_lines("text").alias("text"))
+    x = x.withColumn("f", tx.figures("text"))
+    reason = F.when(F.col("lang") != "en", "language").when(F.col("rejected"), "document").when(~tx.not_blank("text"), "empty").when(~F.col("f.n_words").between(20, 8000), "length").when(~tx.passes_figures(F.col("f")), "quality").when(F.size(tx.sentences("text")) < 3, "sentences")
     # cut here: filters on the reason would otherwise move below and clean each text once more for every rule
-    return checkpointed(x.select("doc_id", "source", F.md5("text").alias("h"), reason.alias("reason"), tx.estimated_tokens("text").alias("est")))
+    return checkpointed(x.select("doc_id", "source", F.when(reason.isNull(), F.col("text")).alias("text"), F.md5("text").alias("h"), reason.alias("reason"), (F.col("f.n_words") * F.lit(1.3)).alias("est")))
 
 
-@query("l03_clean_pipeline", f"select doc_id, case when reason is null and row_number() over (partition by reason is null, h order by doc_id) > 1 then 'exact' else reason end reason from ({STAGES})")
-def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    x = reasons(spark, d)
+def first_copies(x: DataFrame) -> DataFrame:
+    """reasons' rows with 'exact' for the later ones of equal accepted texts."""
     first = x.where("reason is null").groupBy("h").agg(F.min("doc_id").alias("first"))
-    x = x.join(first, "h", "left")
-    return x.select("doc_id", F.when(F.col("reason").isNull() & (F.col("first") != F.col("doc_id")), "exact").otherwise(F.col("reason")).alias("reason"))
+    return x.join(first, "h", "left").withColumn("reason", F.when(F.col("reason").isNull() & (F.col("first") != F.col("doc_id")), "exact").otherwise(F.col("reason"))).drop("first")
+
+
+@query("l03_clean_stages", f"select doc_id, case when reason is null and row_number() over (partition by reason is null, h order by doc_id) > 1 then 'exact' else reason end reason from ({STAGES})")
+def clean_stages(spark: SparkSession, d: str) -> DataFrame:
+    return first_copies(reasons(spark, d)).select("doc_id", "reason")
+
+
+@query("l03_clean_pipeline")
+def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """All stages: after the exact copies, documents that share three sentences in a row with an earlier accepted one go."""
+    x = checkpointed(first_copies(reasons(spark, d)))
+    kept = dd.greedy_overlap(x.where("reason is null").select("doc_id", "text"), "text", "doc_id").select("doc_id", F.lit(True).alias("kept"))
+    return x.join(kept, "doc_id", "left").select("doc_id", F.when(F.col("reason").isNull() & F.col("kept").isNull(), "overlap").otherwise(F.col("reason")).alias("reason"), F.md5(F.when(F.col("kept"), F.col("text"))).alias("clean_md5"))
 
 
 @query("corpus_budget_report", f"""with k as (select * from ({STAGES}) where reason is null), f as (select source, doc_id, est from (select *, row_number() over (partition by h order by doc_id) rn from k) where rn = 1),
