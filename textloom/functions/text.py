@@ -69,6 +69,12 @@ def joined_ngrams(items: Column, n: int) -> Column:
     return F.coalesce(grams, F.array().cast("array<string>"))
 
 
+def shingles(text, n: int) -> Column:
+    """The distinct word n-grams; a shorter text's whole sequence is its one shingle, and a wordless one has none."""
+    few = lambda w: F.when(F.size(w) >= n, joined_ngrams(w, n)).when(F.size(w) > 0, F.array(F.array_join(w, " ")))
+    return F.array_distinct(F.coalesce(let(words(text), few), F.array().cast("array<string>")))
+
+
 def sentence_trigram_hashes(text) -> Column:
     """md5 of each window of three consecutive sentences."""
     return F.transform(joined_ngrams(sentences(text), 3), lambda g: F.md5(g))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators.prefix import exclusive_sum
+from textloom.operators.storage import checkpointed
 
 
 def word_ids(text) -> Column:
@@ -20,18 +21,25 @@ def word_ids(text) -> Column:
 
 def byte_ids(text) -> Column:
     """Byte tokenizer: the values of the UTF-8 bytes."""
-    hexed = F.hex(F.encode(text, "utf-8"))
-    return F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+
+
+def _placed(x: DataFrame) -> DataFrame:
+    """Rows (seq, t) that have tokens, with n and at, the tokens before each. The tokens are made once and stored; only their
+    numbers are ordered, and the places come back by the row's number."""
+    x = checkpointed(x.withColumn("n", F.size("t").cast("long")).withColumn("row", F.monotonically_increasing_id()))
+    at = exclusive_sum(x.select("seq", "row", "n"), "n", [], ["seq", "row"], "at").where("n > 0").select("row", "at")
+    return x.join(at, "row").drop("row")
 
 
 def pack(df: DataFrame, tokens: str, seq: str, length: int, eos: int | None) -> DataFrame:
     """(block_id, tokens): the token stream in order of seq, one end id a document, cut in blocks; the short tail goes."""
     t = F.concat(F.col(tokens), F.array(F.lit(eos).cast("int"))) if eos is not None else F.col(tokens)
-    x = df.select(F.col(seq).alias("seq"), t.alias("t")).withColumn("n", F.size("t").cast("long"))
-    x = exclusive_sum(x, "n", [], ["seq"], "at")
+    x = _placed(df.select(F.col(seq).alias("seq"), t.alias("t")))
     # a document gives one piece for each block that it touches, not one row a token
     blocks = F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("n") - 1) / length))
-    x = x.where("n > 0").withColumn("block_id", F.explode(blocks))
+    x = x.withColumn("block_id", F.explode(blocks))
     lo = F.greatest(F.col("block_id") * length - F.col("at"), F.lit(0))
     hi = F.least((F.col("block_id") + 1) * length - F.col("at"), F.col("n"))
     pieces = x.select("block_id", (F.col("at") + lo).alias("from"), F.slice("t", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
@@ -42,16 +50,15 @@ def pack(df: DataFrame, tokens: str, seq: str, length: int, eos: int | None) ->
 def shards(df: DataFrame, tokens: str, seq: str, per_file: int, vocab: int, eos: int | None = None) -> DataFrame:
     """(shard, dtype, tokens): the stream cut in files of per_file tokens, the remainder kept."""
     t = F.concat(F.col(tokens), F.array(F.lit(eos).cast("int"))) if eos is not None else F.col(tokens)
-    x = df.select(F.col(seq).alias("seq"), t.alias("t")).withColumn("n", F.size("t").cast("long")).where("n > 0")
-    x = exclusive_sum(x, "n", [], ["seq"], "at")
+    x = _placed(df.select(F.col(seq).alias("seq"), t.alias("t")))
     x = x.withColumn("shard", F.explode(F.sequence(F.floor(F.col("at") / per_file), F.floor((F.col("at") + F.col("n") - 1) / per_file))))
     lo = F.greatest(F.col("shard") * per_file - F.col("at"), F.lit(0))
     hi = F.least((F.col("shard") + 1) * per_file - F.col("at"), F.col("n"))
-    return x.select("shard", F.lit("uint16" if vocab <= 65535 else "uint32").alias("dtype"), (F.col("at") + lo).alias("from"), F.slice("t", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+    return x.select("shard", F.lit("uint16" if vocab <= 65535 else "uint32").alias("dtype"), (F.col("at") + lo).alias("from"), F.slice("t", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"), (hi - lo).alias("n"))
 
 
 def shard_manifest(pieces: DataFrame) -> DataFrame:
-    return pieces.groupBy("shard", "dtype").agg(F.sum(F.size("piece")).cast("long").alias("tokens"))
+    return pieces.groupBy("shard", "dtype").agg(F.sum("n").alias("tokens"))
 
 
 def random_window(items: Column, key: str, n: int, seed: int) -> Column:

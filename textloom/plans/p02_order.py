@@ -42,9 +42,9 @@ def held_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e09_f07_fixed_blocks", f"""select floor(g / 128)::bigint block_id, sum(t)::bigint total, count(*)::bigint n from (select unnest(list_append({IDS}, 7)) t, o + unnest(range(len(w) + 1)) g
-  from (select *, coalesce(sum(len(w) + 1) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) o from ({BASE}))) group by 1 having count(*) = 128 and min(g) < 64 * 128""")
+  from (select *, coalesce(sum(len(w) + 1) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) o from ({BASE}))) group by 1 having count(*) = 128""")
 def fixed_blocks(spark: SparkSession, d: str) -> DataFrame:
-    b = pk.pack(docs(spark, d).select("doc_id", pk.word_ids("text").alias("t")), "t", "doc_id", 128, 7).where("block_id < 64")
+    b = pk.pack(docs(spark, d).select("doc_id", pk.word_ids("text").alias("t")), "t", "doc_id", 128, 7)
     return b.select("block_id", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("tokens").cast("long").alias("n"))
 
 
@@ -124,9 +124,9 @@ def interleave(spark: SparkSession, d: str) -> DataFrame:
     return mx.interleave(x.where("lang = 'fr'").drop("lang"), x.where("lang = 'de'").drop("lang"), "doc_id", 0.6, 9)
 
 
-@query("e18_progressive_prefixes", f"select doc_id, n::bigint n, array_to_string(w[1:n], ' ') prefix from (select doc_id, w, unnest(list_filter(list_distinct(list_concat(range(2, 17, 2), [least(len(w), 16)])), lambda n: n <= least(len(w), 16))) n from ({BASE}) where doc_id < 50 and len(w) >= 2)")
+@query("e18_progressive_prefixes", f"select doc_id, n::bigint n, array_to_string(w[1:n], ' ') prefix from (select doc_id, w, unnest(list_filter(list_distinct(list_concat(range(2, 17, 2), [least(len(w), 16)])), lambda n: n <= least(len(w), 16))) n from ({BASE}) where len(w) >= 2)")
 def progressive_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    x = docs(spark, d).where("doc_id < 50").select("doc_id", tx.words("text").alias("w")).where(F.size("w") >= 2)
+    x = docs(spark, d).select("doc_id", tx.words("text").alias("w")).where(F.size("w") >= 2)
     top = F.least(F.size("w"), F.lit(16))
     n = F.filter(F.array_distinct(F.concat(F.sequence(F.lit(2), F.lit(16), F.lit(2)), F.array(top))), lambda i: i <= top)
     x = x.withColumn("n", F.explode(n))
@@ -173,7 +173,7 @@ def prefix_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f12_domain_ngrams", r"""select g gram, count(*)::bigint n from (select unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' '))) g from (select list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), lambda x: len(x) > 1 and x not in ('the', 'of', 'and')) t
-  from documents where lang = 'en' and doc_id < 200)) group by g having count(*) >= 2""")
+  from documents where lang = 'en')) group by g having count(*) >= 2""")
 def domain_ngrams(spark: SparkSession, d: str) -> DataFrame:
     t = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0)), lambda x: (F.length(x) > 1) & ~x.isin("the", "of", "and"))
     x = docs(spark, d).where("lang = 'en'").select(F.explode(tx.joined_ngrams(t, 3)).alias("gram"))
@@ -242,14 +242,15 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id").exceptAll(read(spark, d, "labels").select("doc_id")).distinct()
 
 
-@query("u07_shingle_jaccard", f"""with s as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) g from ({BASE}) where doc_id < 120) select a.doc_id a, b.doc_id b,
-  round(len(list_intersect(a.g, b.g))::double / greatest(len(list_distinct(list_concat(a.g, b.g))), 1), 6) jaccard from s a join s b on a.doc_id < b.doc_id where len(list_intersect(a.g, b.g)) > 0""")
+@query("u07_shingle_jaccard", f"""with s as (select doc_id, list_sort(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) g from ({BASE})),
+  c as (select *, case when len(g) > 0 then min(doc_id) over (partition by g) else doc_id end class_id from s), p as (select class_id, len(g) n, unnest(g) x from c where doc_id = class_id),
+  j as (select a.class_id u, b.class_id v from p a join p b on a.x = b.x and a.class_id <> b.class_id group by a.class_id, b.class_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))), k as (select u, count(*) n from j group by u)
+  select doc_id, class_id, coalesce(k.n, 0)::bigint n_links from c left join k on k.u = c.class_id""")
 def shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    s = docs(spark, d).select("doc_id", F.array_distinct(tx.joined_ngrams(tx.words("text"), 3)).alias("g")).withColumn("n", F.size("g"))
-    post = s.select("doc_id", "n", F.explode("g").alias("x"))  # an inverted index, not all pairs
-    a, b = post.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "x"), post.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "x")
-    j = a.join(b, "x").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    return j.select("a", "b", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6).alias("jaccard"))
+    """Each document's class of equal sets of five-word shingles, and the number of other classes at 0.75 or more."""
+    from textloom.operators import dedup as dd
+
+    return dd.similar_sets(docs(spark, d).select("doc_id", tx.shingles("text", 5).alias("g")), "doc_id", "g")
 
 
 @query("u05_union_vocabulary", f"""with p as (select x, count(*)::double / sum(count(*)) over () p from (select unnest(w) x from ({BASE}) where lang = 'es') group by x), q as (select x, count(*)::double / sum(count(*)) over () q from (select unnest(w) x from ({BASE}) where lang = 'fr') group by x),

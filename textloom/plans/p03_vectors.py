@@ -136,9 +136,9 @@ def nucleus_coverage(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(r6(F.avg("hit")).alias("coverage"), r6(F.avg("size")).alias("mean_size"), F.percentile("size", F.lit(0.5)).alias("median_size"))
 
 
-@query("w11_cumulative_mass", f"select vec_id, k::bigint k, round(max(c) filter (rn <= k), 6) mass from (select *, row_number() over (partition by vec_id order by v desc, i) rn from {RANKED}), (select unnest([1, 3, 5, 10, 20]) k) where vec_id < 50 group by all")
+@query("w11_cumulative_mass", f"select vec_id, k::bigint k, round(max(c) filter (rn <= k), 6) mass from (select *, row_number() over (partition by vec_id order by v desc, i) rn from {RANKED}), (select unnest([1, 3, 5, 10, 20]) k) group by all")
 def cumulative_mass(spark: SparkSession, d: str) -> DataFrame:
-    x = pairs(spark, d).where("vec_id < 50").select("vec_id", vx.ranked("p").alias("r"))
+    x = pairs(spark, d).select("vec_id", vx.ranked("p").alias("r"))
     x = x.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10, 20)])))
     return x.select("vec_id", F.col("k").cast("long").alias("k"), r6(F.aggregate(F.slice("r", F.lit(1), F.col("k")), F.lit(0.0), lambda a, s: a + s["p"])).alias("mass"))
 

@@ -337,9 +337,12 @@ def time_functions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), s.alias("elapsed"), F.round(F.col("value") / (s + 1), 8).alias("per_second"))
 
 
-@query("l65_log_times", "select event_id, 90::bigint as seconds from events where event_id < 50")
+@query("l65_log_times", "select event_id, (event_id % 500)::bigint as seconds from events")
 def log_times(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "events").where("event_id < 50").select("event_id", F.lit("start 2026-01-01T00:00:10 end 2026-01-01T00:01:40").alias("line"))
+    """Whole seconds between the two times of a log line, made here from each event's time."""
+    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    end = F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 500)
+    x = read(spark, d, "events").select("event_id", F.concat(F.lit("start "), iso(F.col("ts")), F.lit(" end "), iso(end)).alias("line"))
     at = lambda w: F.unix_timestamp(F.to_timestamp(F.regexp_extract("line", rf"{w} (\S+)", 1)))
     return x.select("event_id", (at("end") - at("start")).alias("seconds"))
 

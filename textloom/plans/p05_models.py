@@ -32,7 +32,7 @@ def l2_normalise(spark: SparkSession, d: str) -> DataFrame:
     return emb(spark, d).select("vec_id", r6(F.get(vx.l2_normalise("v"), F.lit(0))).alias("first"))
 
 
-@query("n02_g08_cosine_pairs", f"select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.v, b.v), 6) s from {E} a join {E} b on a.vec_id < b.vec_id and a.label = b.label where a.vec_id < 60 and b.vec_id < 60")
+@query("n02_g08_cosine_pairs", f"select a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.v, b.v), 6) s from {E} a join {E} b on a.vec_id < b.vec_id and a.label = b.label")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cl.cosine_pairs(emb(spark, d), "v", "vec_id", "label").select("a", "b", r6("s").alias("s"))
 
@@ -57,7 +57,7 @@ def representatives(spark: SparkSession, d: str) -> DataFrame:
     return cl.representatives(x, "v", "vec_id", "label", cl.centroids(x, "v", "label"), 5).select("label", "vec_id", "rank")
 
 
-SAMPLE = f"(select * from {E} where vec_id < 120)"
+SAMPLE = E
 
 
 @query("n04_silhouette", f"""with p as (select a.vec_id i, a.label ci, b.label cj, avg(list_distance(a.v, b.v)) d from {SAMPLE} a join {SAMPLE} b on a.vec_id <> b.vec_id group by all), s as (select i, min(d) filter (ci = cj) a, min(d) filter (ci <> cj) b from p group by i)
@@ -155,34 +155,34 @@ def tokens(spark: SparkSession, d: str, where: str) -> DataFrame:
     return read(spark, d, "documents").where(where).select(F.col("doc_id").alias("id"), tx.words("text").alias("tokens"))
 
 
-W = "(select doc_id id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') w from documents where lang = 'es')"
+W = "(select doc_id id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') w from documents)"
 
 
 @query("o02_x05_ngram_perplexity", f"""with w as (select id, unnest(w) t, generate_subscripts(w, 1) i, w from {W}), u as (select t, count(*) n from w group by t), tot as (select sum(n) m from u), b as (select w[i-1] c, t, count(*) n from w where i > 1 group by all), bc as (select c, sum(n) m from b group by c),
   s as (select w.id, ln(coalesce(case when w.i > 1 then b.n::double / bc.m end, 0.4 * u.n / tot.m)) lp from w join u on u.t = w.t left join b on w.i > 1 and b.c = w.w[w.i-1] and b.t = w.t left join bc on bc.c = b.c, tot)
   select id, count(*)::bigint n, round(exp(least(-avg(lp), 50)), 4) perplexity from s group by id""")
 def ngram_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    x = tokens(spark, d, "lang = 'es'")
+    x = tokens(spark, d, "true")
     return sr.perplexity(sr.NgramScorer(2).fit(x).score(x)).select("id", "n", F.round("perplexity", 4).alias("perplexity"))
 
 
 @query("x03_next_tokens")
 def next_tokens(spark: SparkSession, d: str) -> DataFrame:
-    m = sr.NgramScorer(3).fit(tokens(spark, d, "lang = 'es'"))
-    x = tokens(spark, d, "lang = 'es' and doc_id < 300").where(F.size("tokens") > 8).select("id", F.slice("tokens", 1, 6).alias("tokens"))
+    m = sr.NgramScorer(3).fit(tokens(spark, d, "true"))
+    x = tokens(spark, d, "true").where(F.size("tokens") > 8).select("id", F.slice("tokens", 1, 6).alias("tokens"))
     return m.next_tokens(x, 3).select("id", "rank", "token", r6("p").alias("p"))
 
 
 @query("x06_generate")
 def generate(spark: SparkSession, d: str) -> DataFrame:
-    m = sr.NgramScorer(3).fit(tokens(spark, d, "lang = 'es'"))
-    x = tokens(spark, d, "lang = 'es' and doc_id < 200").where(F.size("tokens") > 8).select("id", F.slice("tokens", 1, 6).alias("tokens"))
+    m = sr.NgramScorer(3).fit(tokens(spark, d, "true"))
+    x = tokens(spark, d, "true").where(F.size("tokens") > 8).select("id", F.slice("tokens", 1, 6).alias("tokens"))
     return sr.generate(m, x, 3).select("id", F.array_join("tokens", " ").alias("text"))
 
 
 @query("f18_f19_token_tree")
 def token_tree(spark: SparkSession, d: str) -> DataFrame:
-    m = sr.NgramScorer(2).fit(tokens(spark, d, "lang = 'es'"))
+    m = sr.NgramScorer(2).fit(tokens(spark, d, "true"))
     roots = spark.createDataFrame([(0, ["de"]), (1, ["la"])], "id long, tokens array<string>")
     return sr.token_tree(m, roots, 2, 3).select("root", "path", "depth", "token", r6("p").alias("p"))
 
@@ -243,22 +243,32 @@ def perturbation_grid(spark: SparkSession, d: str) -> DataFrame:
     return cp.perturbations(spark, [0.01, 0.05], [0.1], [0.1])
 
 
-@query("p06_token_perturbation")
+HITS = "(('0x' || left(md5(concat_ws('-', doc_id, i, '7')), 8))::bigint / 4294967296.0::double) < 0.2"
+
+
+@query("p06_token_perturbation", f"""select doc_id block_id, count(*) filter (i > 0 and {HITS})::bigint dropped, count(*) filter (i > 0 and {HITS} and t <> ids[1 + (i + 1 + ('0x' || left(md5(concat_ws('-', doc_id, i, '8')), 8))::bigint % (n - 1)) % n])::bigint replaced
+  from (select doc_id, ids, len(ids) n, unnest(ids) t, unnest(range(len(ids))) i from (select doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda x: ('0x' || left(md5(x), 5))::int) ids from documents)) where n > 1 group by doc_id""")
 def token_perturbation(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens lost by dropout and changed by replacement, a block a document."""
     from textloom.operators import pack as pk
 
-    x = read(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("block_id"), F.slice(pk.word_ids("text"), 1, 32).alias("t")).where(F.size("t") == 32)
-    y = cp.perturb_tokens(x, "t", 0.2, 7, "replacement")
-    return y.select("block_id", F.size(F.filter(F.zip_with("t", "perturbed", lambda a, b: a != b), lambda z: z)).alias("changed"))
+    x = read(spark, d, "documents").select(F.col("doc_id").alias("block_id"), pk.word_ids("text").alias("t")).where(F.size("t") > 1)
+    y = cp.perturb_tokens(x, "t", 0.2, 7, "dropout").withColumnRenamed("perturbed", "dropped")
+    y = cp.perturb_tokens(y, "t", 0.2, 7, "replacement").withColumnRenamed("perturbed", "replaced")
+    changed = lambda c: F.size(F.filter(F.zip_with("t", c, lambda a, b: ~a.eqNullSafe(b)), lambda z: z)).cast("long")
+    return y.select("block_id", changed("dropped").alias("dropped"), changed("replaced").alias("replaced"))
+
+
+LETTERS = "string_split(left(md5(({0})::varchar), 4), '')"
 
 
-@query("p10_p12_generation_metrics", "select event_id, case when event_id % 3 = 0 then 1.0::double else round(1 - 1 / 4.0::double, 6) end edit_similarity, case when event_id % 3 = 0 then 4 else 2 end::bigint common_prefix, event_id % 3 = 0 exact from events where event_id < 90")
+@query("p10_p12_generation_metrics", f"""select event_id, round(1 - levenshtein(array_to_string(a, ''), array_to_string(b, '')) / 4.0::double, 6) edit_similarity, coalesce(list_position(list_transform(list_zip(a, b), lambda z: z[1] <> z[2]), true) - 1, 4)::bigint common_prefix, a = b exact,
+  round(len(list_filter(list_zip(a, b), lambda z: z[1] = z[2])) / 4.0::double, 6) position_match from (select event_id, {LETTERS.format('event_id % 50')} a, {LETTERS.format('(event_id * 7) % 50')} b from events)""")
 def generation_metrics(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").where("event_id < 90")
-    a = F.array(*[F.lit(x) for x in (5, 6, 7, 8)])
-    b = F.when(F.col("event_id") % 3 == 0, a).otherwise(F.array(*[F.lit(x) for x in (5, 6, 9, 8)]))
-    x = e.select("event_id", a.alias("a"), b.alias("b"))
-    return x.select("event_id", *cp.generation_metrics("a", "b")).select("event_id", r6("edit_similarity").alias("edit_similarity"), "common_prefix", "exact")
+    ids = lambda k: F.transform(F.filter(F.split(F.left(F.md5(k.cast("string")), F.lit(4)), ""), lambda x: x != ""), lambda x: F.ascii(x))
+    e = read(spark, d, "events").select("event_id", ids(F.col("event_id") % 50).alias("a"), ids((F.col("event_id") * 7) % 50).alias("b"))
+    m = e.select("event_id", *cp.generation_metrics("a", "b"))
+    return m.select("event_id", r6("edit_similarity").alias("edit_similarity"), "common_prefix", "exact", r6("position_match").alias("position_match"))
 
 
 @query("p11_robustness", f"""with b as (select floor(vec_id / 10)::bigint block_id, avg((t_top = label)::int) tm, avg((s_top = label)::int) sm, avg(-ln(p[label + 1])) tn, avg(-ln(q[label + 1])) sn from {POS} group by 1) select 'noise_0.010' as "key", round(avg(tm), 6) t_stability, round(avg(sm), 6) s_stability, round(avg(sm) - avg(tm), 6) gap, abs(avg(sm) - avg(tm)) <= 0.05 in_band from b""")
@@ -280,7 +290,7 @@ def verdict(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q01_q05_representation")
 def representation(spark: SparkSession, d: str) -> DataFrame:
-    x = emb(spark, d).select("vec_id", F.slice("v", 1, 16).alias("x"), F.transform(F.slice("v", 1, 16), lambda v, i: v + i * 0.01).alias("y"))
+    x = emb(spark, d).select("vec_id", F.col("v").alias("x"), F.transform("v", lambda v, i: v + i * 0.01).alias("y"))
     train, test = x.where("vec_id % 2 = 0"), x.where("vec_id % 2 = 1")
     _, scale, r2 = ln.procrustes(train, test, "x", "y")
     row = (ln.cka(x, "x", "y"), ln.effective_rank(x, "x"), ln.spectrum_cosine(x, "x", "y"), scale, r2)
@@ -289,7 +299,7 @@ def representation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q08_g14_head_assignment")
 def head_assignment(spark: SparkSession, d: str) -> DataFrame:
-    e = emb(spark, d).where("vec_id < 64")
+    e = emb(spark, d)
     x = e.select(F.floor(F.col("vec_id") / 32).alias("example"), F.floor(F.col("vec_id") % 32 / 8).cast("int").alias("layer"), (F.col("vec_id") % 8).cast("int").alias("head"), F.col("v").alias("t"), F.col("v").alias("s"))
     return ln.match_heads(ln.head_similarity(x)).select("layer", "teacher_head", "student_head", r6("cosine").alias("cosine"))
 
@@ -302,7 +312,7 @@ def layer_conditioning(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q10_h37_weight_noise")
 def weight_noise(spark: SparkSession, d: str) -> DataFrame:
-    w = emb(spark, d).select(F.col("label").alias("tensor"), F.posexplode("v").alias("pos", "w")).where("pos < 16")
+    w = emb(spark, d).select(F.col("label").alias("tensor"), F.posexplode("v").alias("pos", "w"))
     n = ln.inject_noise(w, 0.1, 3)
     return n.groupBy("tensor").agg(F.count("*").alias("numel"), F.round(F.avg(F.abs(F.col("noisy") - F.col("w"))), 6).alias("mean_shift"))
 

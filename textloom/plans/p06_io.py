@@ -199,13 +199,14 @@ def written_shards(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("doc_id long, source string, shard int").json(path).groupBy("shard").agg(F.count("*").alias("n_rows"))
 
 
-@query("k05_binary_shards", "select shard, tokens, tokens * 4 as n_bytes from (select floor((o + unnest(range(len(w)))) / 4096)::bigint shard, count(*)::bigint tokens from (select *, coalesce(sum(len(w)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) o from (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') w from documents where lang = 'es')) group by 1)")
+@query("k05_binary_shards", "select shard, tokens, tokens * 4 as n_bytes from (select floor((o + unnest(range(len(w)))) / 4096)::bigint shard, count(*)::bigint tokens from (select *, coalesce(sum(len(w)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) o from (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') w from documents)) group by 1)")
 def binary_shards(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "bin")
-    x = read(spark, d, "documents").where("lang = 'es'").select("doc_id", pk.word_ids("text").alias("t"))
-    m = sk.write_token_shards(x, "t", "doc_id", 4096, 1 << 20, path)
-    size = spark.read.parquet(path).select("shard", F.length("bytes").cast("long").alias("n_bytes"))
-    return m.join(size, "shard").select("shard", "tokens", "n_bytes")
+    x = read(spark, d, "documents").select("doc_id", pk.word_ids("text").alias("t"))
+    sk.write_token_shards(x, "t", "doc_id", 4096, 1 << 20, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.regexp_extract("path", r"shard_(\d+)\.bin$", 1).cast("long").alias("shard"), F.col("length").alias("n_bytes"))
+    meta = spark.read.option("multiLine", True).json(f"{path}/meta.json").select(F.explode("shards").alias("s")).select("s.shard", "s.tokens")
+    return files.join(meta, "shard").select("shard", "tokens", "n_bytes")
 
 
 @query("k08_cached_blocks", "select count(*)::bigint n from documents where lang = 'de'")
@@ -225,10 +226,10 @@ def csv_and_vectors(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("label int, n long").option("header", True).csv(f"{top}/csv")
 
 
-@query("k12_text_corpus", "select count(*)::bigint n from (select unnest(string_split(text || chr(10), chr(10))) x from documents where lang = 'es')")
+@query("k12_text_corpus", "select count(*)::bigint n from (select unnest(string_split(text || chr(10), chr(10))) x from documents)")
 def text_corpus(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "txt")
-    sk.write_corpus(read(spark, d, "documents").where("lang = 'es'"), "text", path)
+    sk.write_corpus(read(spark, d, "documents"), "text", path)
     return spark.read.text(path).agg(F.count("*").alias("n"))
 
 

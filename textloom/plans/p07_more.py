@@ -131,10 +131,10 @@ def level_slice(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("level")))
 
 
-@query("l09_token_edit_distance", "select event_id, levenshtein(a, b)::int distance, (case when left(a, 1) <> left(b, 1) then 0 when left(a, 2) <> left(b, 2) then 1 when left(a, 3) <> left(b, 3) then 2 else 3 end)::bigint prefix from (select event_id, left(md5(event_id::varchar), 8) a, left(md5((event_id + 1)::varchar), 8) b from events where event_id < 400) where left(a, 3) <> left(b, 3)")
+@query("l09_token_edit_distance", "select event_id, levenshtein(a, b)::int distance, (case when left(a, 1) <> left(b, 1) then 0 when left(a, 2) <> left(b, 2) then 1 when left(a, 3) <> left(b, 3) then 2 else 3 end)::bigint prefix from (select event_id, left(md5(event_id::varchar), 8) a, left(md5((event_id + 1)::varchar), 8) b from events) where left(a, 3) <> left(b, 3)")
 def token_edit_distance(spark: SparkSession, d: str) -> DataFrame:
     ids = lambda c: F.transform(F.filter(F.split(F.left(F.md5(c.cast("string")), F.lit(8)), ""), lambda x: x != ""), lambda x: F.ascii(x) * 1000)
-    x = read(spark, d, "events").where("event_id < 400").select("event_id", ids(F.col("event_id")).alias("a"), ids(F.col("event_id") + 1).alias("b"))
+    x = read(spark, d, "events").select("event_id", ids(F.col("event_id")).alias("a"), ids(F.col("event_id") + 1).alias("b"))
     return x.select("event_id", cp.token_levenshtein("a", "b").alias("distance"), cp.common_prefix("a", "b").alias("prefix")).where("prefix < 3")
 
 
@@ -220,8 +220,8 @@ def resume(spark: SparkSession, d: str) -> DataFrame:
 def rotation_invariance(spark: SparkSession, d: str) -> DataFrame:
     from textloom.operators import linear as ln
 
-    e = read(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("x"))
-    y = F.array(*[F.get("x", F.lit(i)) for i in (1, 0, 3, 2)])  # a permutation is a rotation or reflection
+    e = read(spark, d, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    y = F.reverse("x")  # a permutation is a rotation or reflection
     return spark.createDataFrame([(round(ln.cka(e.withColumn("y", y), "x", "y"), 6),)], "cka double")
 
 
@@ -232,10 +232,11 @@ def linear_probe(spark: SparkSession, d: str) -> DataFrame:
     return st.macro_scores(st.confusion(p, "label", "pred", list(range(10)))).select(r6("accuracy").alias("accuracy"), r6("macro_f1").alias("macro_f1"))
 
 
-@query("x01_byte_tokens", "select doc_id, octet_length(encode(text))::bigint n_tokens from documents where doc_id < 100")
+@query("x01_byte_tokens", "select doc_id, octet_length(encode(text))::bigint n_tokens, coalesce(list_sum(list_transform(string_split(hex(encode(text)), ''), lambda c: strpos('123456789ABCDEF', c))), 0)::bigint digits from documents")
 def byte_tokens(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "documents").where("doc_id < 100")
-    return x.select("doc_id", F.size(pk.byte_ids(F.col("text"))).cast("long").alias("n_tokens"))
+    x = read(spark, d, "documents").select("doc_id", pk.byte_ids(F.col("text")).alias("t"))
+    digits = F.aggregate("t", F.lit(0).cast("long"), lambda a, v: a + F.floor(v / 16) + v % 16)
+    return x.select("doc_id", F.size("t").cast("long").alias("n_tokens"), digits.alias("digits"))
 
 
 @query("x04_x12_gather_targets", "select doc_id, p as pos, w[p + 1] token from (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') w, unnest([0, 3, 7])::int p from documents) where p < len(w)")
@@ -261,7 +262,7 @@ def atomic_json(spark: SparkSession, d: str) -> DataFrame:
         return spark.createDataFrame([(json.load(f)["n"],)], "n int")
 
 
-@query("e20_halved_batches", "select doc_id, length(text)::bigint n from documents where doc_id < 64")
+@query("e20_halved_batches", "select doc_id, length(text)::bigint n from documents")
 def halved_batches(spark: SparkSession, d: str) -> DataFrame:
     """A batch scorer that halves its batch when it runs out of memory, down to single rows."""
     import pandas as pd
@@ -272,7 +273,7 @@ def halved_batches(spark: SparkSession, d: str) -> DataFrame:
             return pd.concat([score(part.iloc[:half]), score(part.iloc[half:])])
         return pd.DataFrame({"doc_id": part["doc_id"], "n": part["text"].str.len()})
 
-    return read(spark, d, "documents").where("doc_id < 64").select("doc_id", "text").mapInPandas(lambda ps: (score(p) for p in ps if len(p)), "doc_id long, n long")
+    return read(spark, d, "documents").select("doc_id", "text").mapInPandas(lambda ps: (score(p) for p in ps if len(p)), "doc_id long, n long")
 
 
 @query("w05_windowed_widths", "select vec_id, round(avg(embedding[1]::double) over (partition by label order by vec_id rows between 2 preceding and current row), 6) moving from embeddings")

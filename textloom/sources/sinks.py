@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators.pack import shard_manifest, shards
+from textloom.operators.pack import shards
 from textloom.operators.prefix import row_index
+from textloom.operators.storage import checkpointed, put_text
 from textloom.sources.readers import exists, ledger
 
 
@@ -48,15 +52,42 @@ def write_shards(df: DataFrame, order: str, size: int, path: str) -> None:
 
 
 def write_token_shards(df: DataFrame, tokens: str, seq: str, per_file: int, vocab: int, path: str, eos: int | None = None) -> DataFrame:
-    """Binary rows (shard, bytes) of little-endian ids, 16-bit up to a vocabulary of 65535; returns the manifest."""
-    p = shards(df, tokens, seq, per_file, vocab, eos)
-    one = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("from", "piece"))), lambda s: s["piece"]))
-    width = 4 if vocab <= 65535 else 8
-    little = lambda x: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(x), width, F.lit("0")), F.lit("(..)"), F.lit(1))), ""))
-    whole = p.groupBy("shard", "dtype").agg(one.alias("ids"))
-    body = F.unhex(F.array_join(F.transform("ids", lambda x: F.hex(little(x.cast("long")))), ""))
-    whole.select("shard", "dtype", body.alias("bytes")).write.mode("overwrite").parquet(path)
-    return shard_manifest(p)
+    """Raw files shard_00000.bin of little-endian ids, 16-bit up to a vocabulary of 65535, and meta.json; returns the manifest.
+
+    A task writes its shards one after the other, piece by piece, so a file is never in memory; a file gets its name when it
+    is whole, so a task that runs twice leaves one. The manifest has a row a file.
+    """
+    p = shards(df, tokens, seq, per_file, vocab, eos).repartition("shard").sortWithinPartitions("shard", "from")
+    width = "<u2" if vocab <= 65535 else "<u4"
+
+    def write(batches):
+        fs, top = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs.create_dir(top, recursive=True)
+        now, out, n = None, None, 0
+
+        def close():
+            out.close()
+            fs.move(f"{top}/.{now}-{uid}", f"{top}/shard_{now:05d}.bin")
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([n], pa.int64())], names=["shard", "tokens"])
+
+        uid = uuid.uuid4().hex
+        for b in batches:
+            off, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy(zero_copy_only=False)
+            for shard, lo, hi in zip(b.column(0).to_pylist(), off, off[1:]):
+                if shard != now:
+                    if out:
+                        yield close()
+                    now, n, out = shard, 0, fs.open_output_stream(f"{top}/.{shard}-{uid}")
+                out.write(flat[lo:hi].astype(width).tobytes())
+                n += int(hi - lo)
+        if out:
+            yield close()
+
+    m = checkpointed(p.select("shard", "piece").mapInArrow(write, "shard long, tokens long"))
+    rows = [{"shard": r.shard, "tokens": r.tokens, "file": f"shard_{r.shard:05d}.bin"} for r in m.orderBy("shard").collect()]
+    dtype = "uint16" if vocab <= 65535 else "uint32"
+    put_text(df.sparkSession, f"{path}/meta.json", json.dumps({"dtype": dtype, "vocab_size": vocab, "total_tokens": sum(r["tokens"] for r in rows), "shards": rows}))
+    return m.select("shard", F.lit(dtype).alias("dtype"), "tokens")
 
 
 def exact_slice(df: DataFrame, order: str, n: int, path: str, exact: bool = True) -> DataFrame:

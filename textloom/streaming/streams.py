@@ -17,14 +17,18 @@ def first_arrivals(stream: DataFrame, text: str, time: str | None = None, late:
 
 
 def write_once(stream: DataFrame, id_col: str, out: str, ledger: str, checkpoint: str):
-    """Append each micro-batch's rows that the ledger doesn't hold, rows before ledger, so that a repeat is harmless."""
+    """Write each micro-batch's rows that the ledger doesn't hold to its own folder, epoch=N, and then its ids to the ledger's.
+    A batch that failed between the two is written again over both; its own ids in the ledger don't hold its rows back."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        from textloom.sources.sinks import append_jsonl, append_ledger, pending
-
-        new = pending(batch, id_col, batch.sparkSession, ledger)
-        append_jsonl(new.withColumn("epoch", F.lit(epoch)), f"{out}/epoch={epoch}")
-        append_ledger(new, id_col, ledger)
+        from textloom.sources.readers import exists
+
+        spark, new = batch.sparkSession, batch
+        if exists(spark, ledger):
+            done = spark.read.schema("value string, epoch long").text(ledger).where(F.col("epoch") != epoch)
+            new = batch.join(done.select(F.col("value").cast(batch.schema[id_col].dataType).alias(id_col)), id_col, "left_anti")
+        new.write.mode("overwrite").json(f"{out}/epoch={epoch}")
+        new.select(F.col(id_col).cast("string").alias("value")).write.mode("overwrite").text(f"{ledger}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
