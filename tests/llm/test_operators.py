@@ -200,7 +200,9 @@ def test_overlap_resynchronisation():
     encode = lambda s: tok.encode(s, add_special_tokens=False)
     for t in ["", *("".join(rnd.choices(ALPHABET, k=3000)) for _ in range(5)), "a" * 20_000, "中" * 9000, "ab " * 9000, "x" * 4000 + " y" * 4000]:
         for chunk, overlap in ((600, 16), (100, 8), (64, 64)):
-            assert [i for p in token_count.spliced(t, encode, chunk, overlap) for i in p] == encode(t).ids
+            parts = list(token_count.spliced(t, encode, chunk, overlap, 8))
+            assert "".join(parts) == t and [i for p in parts for i in encode(p).ids] == encode(t).ids
+        assert token_count.count_tokens(P.path("word_bpe_49k.json"), t) == len(encode(t).ids)
 
 
 def test_chunks_stay_small():
@@ -210,8 +212,9 @@ def test_chunks_stay_small():
         sizes.append(len(s))
         return tok.encode(s, add_special_tokens=False)
 
-    n = sum(map(len, token_count.spliced("the word é, " * 40_000, encode)))
-    assert n == len(tok.encode("the word é, " * 40_000, add_special_tokens=False).ids) and max(sizes) <= token_count.CHUNK + token_count.OVERLAP
+    parts = list(token_count.spliced("the word é, " * 40_000, encode))
+    assert "".join(parts) == "the word é, " * 40_000 and max(map(len, parts)) <= token_count.CHUNK + token_count.OVERLAP
+    assert len(parts) > 50 and max(sizes) <= token_count.OVERLAP + token_count.CONTEXT
 
 
 def test_token_counts(odd, none, spark):

@@ -1,11 +1,14 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A text is encoded in chunks of CHUNK characters that overlap, with offsets; a text of one chunk has nothing to splice. Two
-neighbouring encodings are spliced at a boundary inside the overlap that is proven stable: both have a token that starts
-there, they agree on the RUN tokens from there on (ids and offsets), and the characters around it (white space, then an ASCII
-letter or digit) are ones across which the tokenizer neither normalises nor merges. Where no boundary is found the overlap is
-widened, twice as far each time, up to the text's end. Memory is bounded by a chunk, not by a document, unless a text has no
-such boundary at all. The counts are the library's for the whole text.
+A text is cut into chunks of CHUNK characters that overlap; a text of one chunk has nothing to splice. The ends of two
+neighbouring chunks are encoded with offsets, each with CONTEXT characters of its own beside the overlap, and spliced at a
+boundary inside the overlap that is proven stable: both have a token that starts there, they agree on the RUN tokens from
+there on (ids and offsets), and the characters around it (white space, then an ASCII letter or digit) are ones across which the
+tokenizer neither normalises nor merges. Where no boundary is found the overlap is widened, twice as far each time, up to the
+text's end. Memory is bounded by a chunk, not by a document, unless a text has no such boundary at all.
+
+Between two boundaries the tokens are those of the words that white space parts; a worker remembers the counts of up to MEMO
+words, and the library counts new ones. The sum is the library's count for the whole text.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); very long texts go by chunks, as above; rows are returned one for
 one, repeated ones and those with null ids too; of several proven boundaries the last one is taken; an empty table gives no
@@ -22,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._common import claim, ship, slices
+from textloom.llm._common import claim, holds, ship, slices
 
-CHUNK, OVERLAP, RUN = 4096, 256, 4
+CHUNK, OVERLAP, CONTEXT, RUN = 8192, 128, 32, 4
+MEMO = 400_000
 #: White space, then an ASCII letter or digit.
 STABLE = re.compile(r"(?<=[ \n])[A-Za-z0-9]")
 
@@ -43,45 +47,63 @@ def tokenizer(path: str):
     return _OPEN[path]
 
 
-def _boundary(text: str, at: int, hi: int, lo: int, left, right) -> tuple[int, int] | None:
-    """The last proven boundary in text[at:hi], as token numbers of left (which begins at character lo) and right (at)."""
+def _boundary(text: str, at: int, hi: int, begin: int, left, right) -> int | None:
+    """The last proven boundary in text[at:hi], from the encodings left of text[begin:hi] and right of text from at on."""
     left_ids, right_ids = left.ids, right.ids
     for m in reversed(list(STABLE.finditer(text, at + 1, hi))):
         p = m.start()
-        k, j = left.char_to_token(p - lo), right.char_to_token(p - at)
+        k, j = left.char_to_token(p - begin), right.char_to_token(p - at)
         if k is None or j is None or k + RUN > len(left_ids) or left_ids[k : k + RUN] != right_ids[j : j + RUN]:
             continue
-        spans = [([a + lo for a in left.token_to_chars(k + r)], [a + at for a in right.token_to_chars(j + r)]) for r in range(RUN)]
+        spans = [([a + begin for a in left.token_to_chars(k + r)], [a + at for a in right.token_to_chars(j + r)]) for r in range(RUN)]
         if spans[0][0][0] == p and all(a == b for a, b in spans):
-            return k, j
+            return p
     return None
 
 
-def spliced(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[int]]:
-    """The ids of the whole text, in pieces. encode gives the library's encoding (ids and offsets) of a string."""
+def spliced(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERLAP, context: int = CONTEXT) -> Iterator[str]:
+    """The text in pieces that begin at proven boundaries. encode gives the library's encoding (ids and offsets) of a string."""
     lo, wide = 0, overlap
     hi = min(len(text), chunk + wide)
-    left, skip = encode(text[lo:hi]), 0  # left's first skip tokens are given already
     while hi < len(text):
-        at = hi - wide
-        end = min(len(text), at + chunk + wide)
-        right = encode(text[at:end])
-        cut = _boundary(text, at, hi, lo, left, right)
+        at = max(lo, hi - wide)
+        begin, end = max(lo, at - context), min(len(text), hi + context)
+        cut = _boundary(text, at, hi, begin, encode(text[begin:hi]), encode(text[at:end]))
         if cut:
-            yield left.ids[skip : cut[0]]
-            left, skip, lo, hi, wide = right, cut[1], at, end, overlap
-        else:  # a longer left side, from its last boundary on, and a wider overlap with what follows it
+            yield text[lo:cut]
+            lo, wide = cut, overlap
+            hi = min(len(text), hi - overlap + chunk + wide)
+        else:  # a longer left side, and a wider overlap with what follows it
             wide *= 2
             hi = min(len(text), hi + wide)
-            lo += left.token_to_chars(skip)[0] if skip else 0
-            left, skip = encode(text[lo:hi]), 0
-    yield left.ids[skip:]
+    yield text[lo:]
+
+
+class _Counts(dict):
+    """Tokens by word; missing words are counted by the library."""
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        if len(self) < MEMO:
+            self[word] = n
+        return n
+
+
+_MEMO: dict[str, _Counts] = {}
+holds("token_count", _MEMO.clear)
 
 
 def count_tokens(path: str, text: str) -> int:
     """The library's token count of a text."""
     tok = tokenizer(path)
-    return sum(map(len, spliced(text, lambda s: tok.encode(s, add_special_tokens=False))))
+    memo = _MEMO.get(path)
+    if memo is None or len(memo) >= MEMO:
+        memo = _MEMO[path] = _Counts(tok)
+    pieces = spliced(text, lambda s: tok.encode(s, add_special_tokens=False))
+    return sum(sum(map(memo.__getitem__, p.encode("utf-8", "surrogatepass").split())) for p in pieces)
 
 
 def _counter(path: str):
