@@ -1,7 +1,11 @@
 """Goldens and identities: packing, batches, vectors, fits, elbows, alignment, budgets, greedy dedup, streams."""
 
+import hashlib
 import math
 import random
+import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -133,11 +137,62 @@ def test_run_arithmetic():
 
 
 def test_line_rules(spark):
-    lines = {"© 2020 all is well here.": False, "one two three four.": False, "one two three four five.": True, "one two three four five:": False, "Foo bar baz qux quux.[1]": False, 'he said it is "fine now"': True}
-    d = spark.createDataFrame([(s,) for s in lines], "s string")
-    assert {r.s: r.ok for r in d.select("s", tx.line_is_valid(F.col("s")).alias("ok")).collect()} == lines
-    t = spark.createDataFrame([("one two [12] three four five.\nno JavaScript please, it is on.\nplease see our Privacy Policy right here now.",)], "t string")
-    assert one(t.select(tx.clean_lines("t").alias("c"))).c == "one two  three four five."
+    # The nine phrases.
+    phrases = ["terms of use", "privacy policy", "cookie policy", "uses cookies", "use of cookies", "use cookies", "terms and conditions", "all rights reserved", "see ap.org"]
+    good = ["One two[1] three four five.\r", "\t One two three four five! \t", "one two three [citation needed] four five'", "please sign up here for one more."]
+    bad = ["© one two three four five.", "one two three four.", "one two three four five", "One JavaScript two three four.", *(f"we say {p.upper()} one two three." for p in phrases)]
+    t = spark.createDataFrame([("\n".join([*good, *bad]),)], "t string")
+    assert one(t.select(tx.clean_lines("t").alias("c"))).c == "\n".join(["One two three four five.\r", good[1], "one two three  four five'", good[3]])
+    x = spark.createDataFrame([("\u00a0 a\x0b\x0c b \n\n\n\n\n c\x1c\r\n",)], "t string")
+    assert one(x.select(tx.normalise_space("t").alias("c"))).c == "a b \n\n c"
+    y = spark.createDataFrame([("Ünï ﬁ “x” 中 é\t.",)], "t string")
+    assert one(y.select(tx.normalise("t").alias("c"))).c == "Uni fi x e\t."
+
+
+def clean(text, bad=("scum", "worthless")):
+    """The cleaning rules in plain Python, up to the sentences: (reason, text)."""
+    t = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+    t = re.sub(r"\n{4,}", "\n\n", re.sub(r"[^\S\n\t\r]+", " ", t)).strip()
+    if "{" in t or "lorem ipsum" in t.lower() or any(re.search(rf"\b{w}\b", t.lower()) for w in bad):
+        return "document", None
+    kept = []
+    for line in t.split("\n"):
+        low, s = line.lower(), line.strip()
+        if "javascript" in low or any(p in low for p in tx.BOILERPLATE) or s.startswith("©") or len(s.split()) < 5 or s[-1] not in ".!?\"'":
+            continue
+        kept.append(re.sub(r"(?i)\[\d+\]|\[citation needed\]", "", line))
+    t = "\n".join(kept)
+    w = t.split()
+    if not w:
+        return "empty", None
+    if not 20 <= len(w) <= 8000:
+        return "length", None
+    g = list(zip(w, w[1:], w[2:]))
+    if sum(map(str.isalpha, t)) / len(t) < 0.4 or sum(x.isupper() and len(x) > 2 for x in w) / len(w) > 0.4 or 1 - len(set(g)) / len(g) > 0.25:
+        return "quality", None
+    return None, t
+
+
+def test_clean_pipeline_equals_the_loop(spark, sf):
+    from textloom import registry
+    from textloom.plans import p01_clean  # noqa: F401
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r.doc_id: (r.reason, r.clean_md5) for r in registry.QUERIES["l03_clean_pipeline"](spark, sf).collect()}
+    hashes, taken, seen = set(), set(), Counter()
+    for r in sorted(docs, key=lambda r: r.doc_id):
+        reason, t = ("language", None) if r.lang != "en" else clean(r.text)
+        if t is not None:
+            s = [x.strip() for x in re.sub(r"([.!?]+[\"')\]]*)\s+", "\\1\x01", t).split("\x01") if x.strip()]
+            grams = {" ".join(s[k : k + 3]) for k in range(len(s) - 2)}
+            reason = "sentences" if len(s) < 3 else "exact" if t in hashes else "overlap" if grams & taken else None
+            if len(s) >= 3:
+                hashes.add(t)
+            if reason is None:
+                taken |= grams
+        seen[reason] += 1
+        assert got[r.doc_id] == (reason, hashlib.md5(t.encode()).hexdigest() if reason is None else None)
+    assert seen[None] > 5 and len(seen) >= 4
 
 
 def test_document_rules(spark):
@@ -281,10 +336,19 @@ def test_strict_readers_fail(spark, tmp_path):
 
 
 def test_token_shard_bytes(spark, tmp_path):
-    d = spark.createDataFrame([(0, [1, 2, 300]), (1, [65535])], "i long, t array<int>")
-    sinks.write_token_shards(d, "t", "i", 3, 65535, f"file://{tmp_path}/b")
-    got = {r.shard: np.frombuffer(bytes(r.bytes), "<u2").tolist() for r in spark.read.parquet(f"file://{tmp_path}/b").collect()}
-    assert got == {0: [1, 2, 300], 1: [65535]}
+    import json
+    import struct
+
+    from textloom.sources.sinks import write_token_shards
+
+    d = spark.createDataFrame([(0, [1, 2, 3]), (1, [258]), (2, []), (3, [70000 % 65536, 7])], "doc_id long, t array<int>")
+    for vocab, code in ((1000, "H"), (100_000, "I")):
+        path = f"{tmp_path}/{code}"
+        m = write_token_shards(d, "t", "doc_id", 4, vocab, path, eos=9)
+        raw = b"".join(p.read_bytes() for p in sorted((tmp_path / code).glob("shard_*.bin")))
+        assert struct.unpack(f"<10{code}", raw) == (1, 2, 3, 9, 258, 9, 9, 4464, 7, 9)
+        meta = json.loads((tmp_path / code / "meta.json").read_text())
+        assert meta["total_tokens"] == 10 and [s["tokens"] for s in meta["shards"]] == [4, 4, 2] and {r.dtype for r in m.collect()} == {meta["dtype"]}
 
 
 def test_speed_ups_and_rotation(spark):

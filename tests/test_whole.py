@@ -23,13 +23,80 @@ def documents(n, seed, words, langs="en"):
     return [(i * 37, " ".join(rnd.choices(words, k=rnd.randint(0, 25))), rnd.choice(langs.split())) for i in range(n)]
 
 
+def families(seed):
+    """Documents (id, text, lang) with chains of near copies, equal sets, short, empty and null texts."""
+    rnd = random.Random(seed)
+    docs = documents(40, seed, "a b c d e".split())
+    base = [f"w{rnd.randrange(99)}" for _ in range(60)]
+    for k in range(30):
+        base = list(base)
+        base[rnd.randrange(60)] = f"w{rnd.randrange(99)}"
+        docs.append((6000 + k, " ".join(base), "en"))
+    return docs + [(5000, docs[3][1], "en"), (5001, "a b", "en"), (5002, None, "en"), (5003, "a  b", "en"), (5004, "", "en"), (5005, "a b", "en")]
+
+
+def shingle_sets(docs):
+    return {i: frozenset({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else ()) for i, t, _ in docs for w in [(t or "").split()]}
+
+
+def similar(x, y):
+    return bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+
+
 def test_shingle_jaccard_all_documents(spark, tmp_path):
-    docs = documents(40, 1, "a b c d e".split())
-    docs += [(5000, docs[3][1], "en"), (5001, "a b", "en"), (5002, None, "en")]
-    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t, _ in docs for w in [(t or "").split()]}
-    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
+    docs = families(1)
+    sets = shingle_sets(docs)
+    first = {s: min(j for j, t in sets.items() if t == s) for s in sets.values() if s}
+    links = {s: sum(similar(s, t) for t in first if t != s) for s in first}
+    want = {i: (first.get(s, i), links.get(s, 0)) for i, s in sets.items()}
     got = run(spark, tmp_path, "u07_shingle_jaccard", "documents", docs, "doc_id long, text string, lang string")
-    assert {(r.a, r.b): r.jaccard for r in got} == want and len(got) == len(want) and max(b for _, b in want) == 5000
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want and len(got) == len(docs) and max(n for _, n in want.values()) > 1
+
+
+def test_near_copies_lose_no_document(spark, tmp_path):
+    """Every link is a true one, and a document with a similar one has a link."""
+    docs = families(3)
+    sets = shingle_sets(docs)
+    got = run(spark, tmp_path, "d05_minhash_near_copies", "documents", docs, "doc_id long, text string, lang string")
+    assert all(similar(sets[r.seq], sets[r.first]) for r in got)
+    linked = {r.seq for r in got} | {r.first for r in got}
+    assert linked == {i for i, s in sets.items() if any(similar(s, t) for j, t in sets.items() if j != i)}
+
+
+def test_context_monitor_equals_the_loop(spark, tmp_path):
+    from textloom.operators.storage import scratch
+    from textloom.streaming.streams import context_monitor
+
+    rnd = random.Random(4)
+    rows = [(i, i % 3, f"t{i}", rnd.random() * (20 if rnd.random() < 0.1 else 1)) for i in range(300)]
+    path = scratch(spark, "monitor")
+    spark.createDataFrame(rows, "n long, session long, token string, width double").coalesce(1).sortWithinPartitions("n").write.parquet(path)
+    out = []
+    x = spark.readStream.schema("n long, session long, token string, width double").parquet(path)
+    context_monitor(x, eps=1.0).writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", scratch(spark, "mark")).trigger(availableNow=True).start().awaitTermination()
+    want, held = [], {}
+    for _, s, token, width in rows:
+        tokens, widths = held.setdefault(s, ([], []))
+        tokens.append(token)
+        widths.append(width)
+        means = [np.mean(widths[max(0, k - 2) : k + 1]) for k in range(len(widths))]
+        if len(means) >= 4 and np.var(means[-4:]) > 1.0:
+            want.append((s, len(tokens), " ".join(tokens[:8]), " ".join(tokens[-8:])))
+            held[s] = ([], [])
+    assert sorted((r.session, r.breach_at, r.head, r.tail) for r in out) == sorted(want) and len(want) > 5
+
+
+def test_stream_batch_that_repeats(spark, tmp_path):
+    """A batch that failed after its rows were written is written over."""
+    from textloom.streaming.streams import write_once
+
+    src, out, led = f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ledger"
+    spark.range(10).write.parquet(src)
+    x = spark.readStream.schema("id long").parquet(src)
+    write_once(x, "id", out, led, f"{tmp_path}/mark").awaitTermination()
+    for mark in ("again", "third"):  # as after a lost checkpoint: batch 0 once more
+        write_once(x, "id", out, led, f"{tmp_path}/{mark}").awaitTermination()
+        assert sorted(r.id for r in spark.read.schema("id long").json(f"{out}/*").collect()) == list(range(10))
 
 
 def test_domain_ngrams_all_english_documents(spark, tmp_path):

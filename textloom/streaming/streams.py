@@ -43,26 +43,31 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str = "30 minutes", la
 
 
 _CONTEXT = "session long, breach_at long, n_tokens long, head string, tail string, variance double"
-_STATE = "tokens array<string>, widths array<double>"
+_STATE = "n long, head array<string>, tail array<string>, widths array<double>"
 
 
 def context_monitor(stream: DataFrame, span: int = 3, last: int = 4, eps: float = 1e-3, keep: int = 8) -> DataFrame:
     """Rows (session, token, width): append tokens, and when the variance of the last moving means passes eps, emit the
-    context's head and tail and start anew. State is one context a session."""
+    context's head and tail and start anew. A session's state is a few tokens and widths, however long its context."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, widths = (list(x) for x in state.get) if state.exists else ([], [])
+        n, head, tail, widths = (state.get[0], *(list(x) for x in state.get[1:])) if state.exists else (0, [], [], [])
         out = []
         for p in parts:
             for token, width in zip(p["token"], p["width"]):
-                tokens.append(token)
-                widths.append(float(width))
-                means = pd.Series(widths).rolling(span, min_periods=1).mean()
-                var = float(means.tail(last).var(ddof=0)) if len(means) >= last else 0.0
+                n += 1
+                head = [*head, token] if n <= keep else head
+                tail = [*tail, token][-keep:]
+                widths = [*widths, float(width)][-(last + span - 1) :]
+                if n < last:
+                    continue
+                means = [sum(w) / len(w) for k in range(len(widths) - last, len(widths)) for w in [widths[max(0, k - span + 1) : k + 1]]]
+                mid = sum(means) / last
+                var = sum((m - mid) ** 2 for m in means) / last
                 if var > eps:
-                    out.append((key[0], len(tokens), len(tokens), " ".join(tokens[:keep]), " ".join(tokens[-keep:]), var))
-                    tokens, widths = [], []
-        state.update((tokens, widths))
+                    out.append((key[0], n, n, " ".join(head), " ".join(tail), var))
+                    n, head, tail, widths = 0, [], [], []
+        state.update((n, head, tail, widths))
         yield pd.DataFrame(out, columns=["session", "breach_at", "n_tokens", "head", "tail", "variance"])
 
     return stream.groupBy("session").applyInPandasWithState(run, _CONTEXT, _STATE, "append", GroupStateTimeout.NoTimeout)
