@@ -134,6 +134,7 @@ def sample(docs: DataFrame, folds: int, held: int) -> DataFrame:
     # the last of each language's first SAMPLE hashes; the limit is taken before the shuffle, and texts stay out of it
     place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
     last = d.select("lang", "u").withColumn("place", place).where(F.col("place") <= SAMPLE).groupBy("lang").agg(F.max("u").alias("last"))
+    last = materialise(last, "language-limits")  # one row a language: Spark broadcasts it where its files are small
     some = d.join(last.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).where("u <= last")
     x = some.select("lang", "u", "text").mapInArrow(_sampled, "lang string, u long, x binary")
     # repeated ids tie in u: cut once more, by their features
