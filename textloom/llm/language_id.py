@@ -35,6 +35,8 @@ from textloom.llm._common import crc_mod, materialise, release, ship, slices
 DIM = 4096
 #: Training documents of each language, and of all other families against one.
 SAMPLE, OTHERS = 400, 2000
+#: Groups of scan partitions that a language's rows are cut in first, so that a language of any size never meets in one task.
+GROUPS = 64
 #: Language families by ISO 639-1 code; a code not listed is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no is af", "romance": "fr es it pt ro ca gl", "slavic": "ru uk pl cs sk bg sr hr sl", "uralic": "fi et hu", "indic": "hi bn mr ur pa", "semitic": "ar he"}
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
@@ -132,8 +134,11 @@ def sample(docs: DataFrame, folds: int, held: int) -> DataFrame:
     d = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held))
     d = d.withColumn("u", F.xxhash64("doc_id", F.lit("language-id")))
     # the last of each language's first SAMPLE hashes; the limit is taken before the shuffle, and texts stay out of it
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
-    last = d.select("lang", "u").withColumn("place", place).where(F.col("place") <= SAMPLE).groupBy("lang").agg(F.max("u").alias("last"))
+    first = d.select("lang", "u", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):  # the second cut reads at most SAMPLE * GROUPS rows a language
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("u"))
+        first = first.withColumn("place", place).where(F.col("place") <= SAMPLE).drop("place")
+    last = first.groupBy("lang").agg(F.max("u").alias("last"))
     last = materialise(last, "language-limits")  # one row a language: Spark broadcasts it where its files are small
     some = d.join(last.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).where("u <= last")
     x = some.select("lang", "u", "text").mapInArrow(_sampled, "lang string, u long, x binary")
