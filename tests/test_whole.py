@@ -162,3 +162,36 @@ def test_pair_statistics_equal_cosines(spark):
     same = (30 * 29 + 10 * 9) / (40 * 39)
     assert [r.mean, r.median, r.p10, r.p90, r.min, r.max] == pytest.approx([same, 1, 0, 1, 0, 1])
     assert cluster.pair_statistics(d.limit(0), "v", "id").first().mean is None
+
+
+def test_layerwise_alignment_equals_numpy(spark, sf):
+    """Every layer's value from all rows of the table; the row cap takes that many."""
+    from textloom.operators import linear
+
+    rows = [r.asDict() for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    v = np.array([r["embedding"] for r in rows], float)
+    got = {r["layer"]: (r["n"], r["cka"]) for r in registry.QUERIES["q02_layerwise_cka"](spark, sf).collect()}
+    for layer in range(4):
+        y = v + np.roll(v, -1, axis=1) * layer * 0.5
+        a, b = v - v.mean(0), y - y.mean(0)
+        want = np.linalg.norm(a.T @ b) ** 2 / (np.linalg.norm(a.T @ a) * np.linalg.norm(b.T @ b))
+        assert got[layer][0] == len(rows) and abs(got[layer][1] - want) < 2e-6
+    x = spark.createDataFrame([(0, i, [float(i), float(i * i % 7)]) for i in range(50)], "layer int, i int, v array<double>")
+    assert [(r["layer"], r["n"]) for r in linear.layerwise_cka(x, "layer", "v", "v", "i", 20).collect()] == [(0, 20)]
+
+
+@pytest.mark.parametrize("values", [[9, 5, 4, 1, 0.5, 0.1], [100, 50, 20, 10, 10, 10.1, 3, 1], [5, 4], [7], [3, 3, 3, 3, 9]])
+def test_effective_size_equals_the_loop(spark, values):
+    from textloom.operators import ordered
+
+    seen = []
+    for v in values:
+        seen.append(v)
+        if len(seen) >= 4 and max(seen[-3:]) - min(seen[-3:]) < 0.02 * sum(seen[-3:]) / 3:
+            break
+    steps = [b - a for a, b in zip(seen, seen[1:])]
+    peaks = [k + 2 for k in range(1, len(steps) - 1) if steps[k] > steps[k - 1] and steps[k] > steps[k + 1]]
+    x = spark.createDataFrame([("g", k + 1, float(v)) for k, v in enumerate(values)], "g string, x int, f double")
+    kept = ordered.early_stop(x, "f", "x", ["g"])
+    assert kept.count() == len(seen)
+    assert ordered.difference_elbow(kept, "f", "x", ["g"]).first()["elbow"] == (peaks[0] if peaks else len(seen))

@@ -63,6 +63,23 @@ def bootstrap_ratio(blocks: DataFrame, a: str, b: str, samples: int = 2000, seed
     return blocks.agg(r(a, b).alias("estimate")).crossJoin(ci)
 
 
+def baseline_summary(blocks: DataFrame, means: list[str], ratios: dict[str, tuple[str, str]], perplexities: dict[str, str], samples: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """(metric, estimate, lo, hi): means and ratios of sums of the blocks with intervals from one resampling of them, then the
+    exponentials of some means, the tokens and the blocks, without intervals. Blocks have index 0 to n - 1 as i."""
+    n = blocks.count()
+    tail = (1 - confidence) / 2
+    stats = [F.avg(m).alias(m) for m in means] + [(F.sum(a) / F.greatest(F.sum(b), F.lit(1))).alias(k) for k, (a, b) in ratios.items()]
+    names = [*means, *ratios]
+    drawn = resample(blocks, "i", n, samples, seed).join(blocks, "i").groupBy("draw").agg(*stats)
+    ends = drawn.agg(*[F.percentile(k, F.array(F.lit(tail), F.lit(1 - tail))).alias(f"{k}_ci") for k in names])
+    whole = blocks.agg(*stats, F.sum("n_tokens").cast("double").alias("tokens"), F.count("*").cast("double").alias("blocks"))
+    row = lambda k, v, lo, hi: F.struct(F.lit(k).alias("metric"), v.alias("estimate"), lo.alias("lo"), hi.alias("hi"))
+    none = F.lit(None).cast("double")
+    rows = [row(k, F.col(k), F.get(f"{k}_ci", F.lit(0)), F.get(f"{k}_ci", F.lit(1))) for k in names]
+    rows += [row(k, F.exp(v), none, none) for k, v in perplexities.items()] + [row(k, F.col(k), none, none) for k in ("tokens", "blocks")]
+    return whole.crossJoin(ends).select(F.explode(F.array(*rows)).alias("r")).select("r.*")  # one row by one row
+
+
 def perturbations(spark, sigmas: list[float], dropouts: list[float], replacements: list[float]) -> DataFrame:
     """(key, family, level): the grid of conditions."""
     rows = [("noise", s) for s in sigmas] + [("dropout", d) for d in dropouts] + [("replacement", r) for r in replacements]
@@ -116,6 +133,20 @@ def robustness(clean: DataFrame, perturbed: DataFrame, band: float) -> DataFrame
     return g.withColumn("gap", F.col("s_stability") - F.col("t_stability")).withColumn("degradation_gap", F.col("s_increase") - F.col("t_increase")).withColumn("in_band", F.abs("gap") <= band)
 
 
+def robustness_blocks(df: DataFrame, clean_t: str, clean_s: str, noisy_t: str, noisy_s: str, label: str = "label") -> DataFrame:
+    """Means over a block's positions of two models' clean and perturbed logits: stability, agreement, divergences, losses, hits."""
+    names = {"_ct": clean_t, "_cs": clean_s, "_pt": noisy_t, "_ps": noisy_s}
+    x = df.select("block_id", F.col(label).alias("_y"), F.col(noisy_t).alias("_lt"), F.col(noisy_s).alias("_ls"), *[vx.softmax(v).alias(k) for k, v in names.items()])
+    top = {k: vx.argmax(k) for k in names}
+    values = {
+        "teacher_top1_stability": top["_ct"] == top["_pt"], "student_top1_stability": top["_cs"] == top["_ps"], "perturbed_top1_match": top["_pt"] == top["_ps"],
+        "perturbed_kl_teacher_student": vx.kl("_pt", "_ps"), "teacher_clean_to_perturbed_kl": vx.kl("_ct", "_pt"), "student_clean_to_perturbed_kl": vx.kl("_cs", "_ps"),
+        "perturbed_teacher_nll": vx.cross_entropy("_lt", F.col("_y")), "perturbed_student_nll": vx.cross_entropy("_ls", F.col("_y")),
+        "perturbed_teacher_correct": top["_pt"] == F.col("_y"), "perturbed_student_correct": top["_ps"] == F.col("_y"),
+    }
+    return x.groupBy("block_id").agg(*[F.avg(v.cast("double")).alias(k) for k, v in values.items()], F.count("*").alias("n_tokens"))
+
+
 def verdict(match_lo: Column, kl_hi: Column, in_band: Column, least: float = 0.95, most_kl: float = 0.10) -> Column:
     """Equivalent only if intervals lie inside the bounds: not merely not different."""
     return F.when((match_lo >= least) & (kl_hi <= most_kl) & in_band, "equivalent").otherwise("not_equivalent")

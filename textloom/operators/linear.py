@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,20 @@ def cka(df: DataFrame, x: str, y: str) -> float:
     return float((m["xy"] ** 2).sum() / max(1e-12, np.linalg.norm(m["xx"]) * np.linalg.norm(m["yy"])))
 
 
+def layerwise_cka(df: DataFrame, layer: str, x: str, y: str, order: str, most: int = 8192) -> DataFrame:
+    """(layer, n, cka): the alignment of two vector columns in each layer, over at most so many of its rows, picked by hash."""
+    w = Window.partitionBy(layer).orderBy(F.md5(F.col(order).cast("string")), order)
+    few = df.select(F.col(layer).alias("layer"), F.col(x).alias("x"), F.col(y).alias("y"), F.row_number().over(w).alias("r")).where(F.col("r") <= most)
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.stack(rows[k].to_numpy()).astype(float) for k in ("x", "y"))
+        a, b = a - a.mean(0), b - b.mean(0)
+        bound = max(1e-12, np.linalg.norm(a.T @ a) * np.linalg.norm(b.T @ b))
+        return pd.DataFrame([(key[0], len(rows), float(np.linalg.norm(a.T @ b) ** 2 / bound))], columns=["layer", "n", "cka"])
+
+    return few.groupBy("layer").applyInPandas(one, f"layer {df.schema[layer].dataType.simpleString()}, n long, cka double")
+
+
 def effective_rank(df: DataFrame, x: str) -> float:
     """exp of the entropy of the covariance spectrum."""
     e = np.clip(np.linalg.eigvalsh(cross_products(df, x, x)["xx"]), 0, None)

@@ -71,6 +71,32 @@ def instability(df: DataFrame, f: str, x: str, elbows: DataFrame, groups: list[s
     return j.groupBy(*groups).agg(F.coalesce(F.avg(F.when(F.col(x) > F.col("elbow"), F.col("_d"))), F.lit(1.0)).alias("instability"))
 
 
+def early_stop(df: DataFrame, f: str, x: str, groups: list[str], within: float = 0.02) -> DataFrame:
+    """The points up to the first, from the fourth on, whose last three values lie within a share of their mean; else all."""
+    w = _w(groups, x)
+    last = w.rowsBetween(-2, 0)
+    flat = (F.row_number().over(w) >= 4) & (F.max(f).over(last) - F.min(f).over(last) < F.avg(f).over(last) * within)
+    y = df.withColumn("_flat", flat).withColumn("_stop", F.min(F.when(F.col("_flat"), F.col(x))).over(Window.partitionBy(*groups)))
+    return y.where(F.col(x) <= F.coalesce("_stop", x)).drop("_flat", "_stop")
+
+
+def difference_elbow(df: DataFrame, f: str, x: str, groups: list[str]) -> DataFrame:
+    """The first point whose step from the one before is above both neighbouring steps; the last point where there is none."""
+    w = _w(groups, x)
+    step = F.col(f) - F.lag(f).over(w)
+    y = df.withColumn("_step", step)
+    y = y.withColumn("_peak", (F.col("_step") > F.lag("_step").over(w)) & (F.col("_step") > F.lead("_step").over(w)))
+    return y.groupBy(*groups).agg(F.coalesce(F.min(F.when(F.col("_peak"), F.col(x))), F.max(x)).alias("elbow"))
+
+
+def largest_log_ratio(df: DataFrame, ratio: str, layer: str, groups: list[str]) -> DataFrame:
+    """layer and log_ratio: where a ratio is furthest from 1, up or down; the first layer of several."""
+    score = F.abs(F.ln(F.greatest(F.col(ratio), F.lit(1e-12))))
+    y = df.select(*groups, F.col(layer).alias("layer"), score.alias("log_ratio"))
+    best = F.max_by("layer", F.struct("log_ratio", (-F.col("layer")).alias("o")))
+    return y.groupBy(*groups).agg(best.alias("layer"), F.max("log_ratio").alias("log_ratio"))
+
+
 def minmax(x: str, groups: list[str] | None = None, eps: float = 1e-12) -> Column:
     """0 to 1 over the group; NaN becomes 1, a constant 0."""
     w = Window.partitionBy(*(groups or []))

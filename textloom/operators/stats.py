@@ -110,3 +110,9 @@ def fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def recovery(post: str, final: str, teacher: str) -> Column:
     return (F.col(post) - F.col(final)) / (F.col(post) - F.col(teacher)) * 100
+
+
+def class_counters(df: DataFrame, label: str, skip: Column) -> DataFrame:
+    """(kind, name, n): rows by class, and rows skipped by the reason, which is null for those kept."""
+    x = df.select(F.when(skip.isNull(), "class").otherwise("skipped").alias("kind"), F.coalesce(skip, F.col(label).cast("string")).alias("name"))
+    return x.groupBy("kind", "name").agg(F.count("*").alias("n"))
