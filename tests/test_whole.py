@@ -195,3 +195,31 @@ def test_effective_size_equals_the_loop(spark, values):
     kept = ordered.early_stop(x, "f", "x", ["g"])
     assert kept.count() == len(seen)
     assert ordered.difference_elbow(kept, "f", "x", ["g"]).first()["elbow"] == (peaks[0] if peaks else len(seen))
+
+
+def test_best_ngram_size_equals_the_loop(spark, sf):
+    """Elbow, penalties, scaling and choice of every label's sweep, by numpy on the table's rows."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r["label"], {}).setdefault(r["vec_id"] % 4 + 1, []).append(r["embedding"][:12])
+    want = {}
+    for label, curves in sizes.items():
+        found = []
+        for n, vectors in sorted(curves.items()):
+            x = np.arange(1.0, 13)
+            f = np.abs(np.array(vectors, float)).mean(0) + 1 + 5 / x
+            d1 = np.gradient(f, x)
+            k = 1 + int(np.argmax((np.abs(np.gradient(d1, x)) / (1 + d1 * d1) ** 1.5)[1:-1]))
+            after = np.abs(np.diff(np.log(f)))[k:]
+            found.append([n, np.log(f[k]), after.mean() if len(after) else 1.0, max(0.0, (12 - len(vectors)) / 12), len(vectors) >= 12])
+        lo, hi = np.min([c[1:3] for c in found], 0), np.max([c[1:3] for c in found], 0)
+        for c in found:
+            ce, unrest = (0.0 if hi[i] == lo[i] else (c[1 + i] - lo[i]) / (hi[i] - lo[i] + 1e-12) for i in (0, 1))
+            c.append(0.60 * ce + 0.20 * unrest + 0.15 * c[3])
+        best = min([c for c in found if c[4]] or found, key=lambda c: (c[5], c[1], c[0]))
+        want[label] = (best[0], best[5], best[4])
+    got = {r["label"]: (r["n"], r["score"], r["valid"]) for r in registry.QUERIES["l43_best_ngram_size"](spark, sf).collect()}
+    assert got.keys() == want.keys() and len(got) > 1
+    for label, (n, score, valid) in want.items():
+        assert got[label][0] == n and abs(got[label][1] - score) < 2e-6 and got[label][2] == valid

@@ -105,6 +105,29 @@ def minmax(x: str, groups: list[str] | None = None, eps: float = 1e-12) -> Colum
     return F.when(F.isnan(x) | F.col(x).isNull(), 1.0).when(hi == lo, 0.0).otherwise((F.col(x) - lo) / (hi - lo + eps))
 
 
+def ngram_sweep(curves: DataFrame, domain: str, n: str, x: str, ppl: str, support: str, least: int = 6) -> DataFrame:
+    """One row for each domain and size n of its perplexity curves (one row a point, with the size's distinct n-grams as support):
+    the elbow, its cross-entropy ce, instability after it, the penalties, valid and score (the less the better)."""
+    g = [domain, n]
+    elbows = elbow(curves, ppl, x, g)
+    finite = F.col(ppl).isNotNull() & ~F.isnan(ppl) & (F.abs(ppl) != float("inf"))
+    y = curves.join(elbows, g).groupBy(*g).agg(
+        F.first("elbow").alias("elbow"), F.max(F.when(finite & (F.col(x) == F.col("elbow")), F.ln(ppl))).alias("ce"), F.count_if(finite).alias("points"), F.max(support).alias("support"),
+        F.greatest(F.lit(0.0), (least - F.max(support)) / least).alias("support_penalty"), F.min(x).alias("_lo"), F.max(x).alias("_hi"),
+    )
+    y = y.join(instability(curves, ppl, x, elbows, g), g)
+    y = y.withColumn("edge_penalty", F.when((F.col("elbow") <= F.col("_lo")) | (F.col("elbow") >= F.col("_hi")), 1.0).otherwise(0.0))
+    y = y.withColumn("valid", (F.col("points") >= 3) & (F.col("support") >= least) & F.col("ce").isNotNull())
+    score = 0.60 * minmax("ce", [domain]) + 0.20 * minmax("instability", [domain]) + 0.15 * F.col("support_penalty") + 0.05 * F.col("edge_penalty")
+    return y.withColumn("score", score).drop("_lo", "_hi")
+
+
+def best_size(sweep: DataFrame, domain: str, n: str) -> DataFrame:
+    """A domain's size of least score, then cross-entropy, then size; among the valid ones where there are any."""
+    place = F.struct(~F.col("valid"), "score", F.coalesce("ce", F.lit(float("inf"))), n)
+    return sweep.groupBy(domain).agg(F.min_by(F.struct(n, "score", "valid"), place).alias("b")).select(domain, "b.*")
+
+
 def cumulative_mass(p: str, order_id: str, groups: list[str] | None = None) -> Column:
     return F.sum(p).over(Window.partitionBy(*(groups or [])).orderBy(F.col(p).desc(), order_id).rowsBetween(Window.unboundedPreceding, 0))
 

@@ -94,3 +94,16 @@ def layerwise_cka(spark: SparkSession, d: str) -> DataFrame:
     x = emb(spark, d).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("layer"))
     y = F.zip_with("v", F.concat(F.slice("v", 2, 1000), F.slice("v", 1, 1)), lambda a, b: a + b * F.col("layer") * 0.5)
     return ln.layerwise_cka(x.withColumn("y", y), "layer", "v", "y", "vec_id").withColumn("cka", r6("cka"))
+
+
+def sweep_curves(spark: SparkSession, d: str) -> DataFrame:
+    """(label, n, x, f, support): curves of four sizes a label, from every vector's first twelve entries."""
+    e = read(spark, d, "embeddings").select("label", (F.col("vec_id") % 4 + 1).alias("n"), F.posexplode(F.slice("embedding", 1, 12)).alias("p", "v"))
+    x = (F.col("p") + 1).cast("double")
+    return e.groupBy("label", "n", x.alias("x")).agg((F.avg(F.abs(F.col("v").cast("double"))) + 1 + 5.0 / F.first(x)).alias("f"), F.count("*").alias("support"))
+
+
+@query("l43_best_ngram_size")
+def best_ngram_size(spark: SparkSession, d: str) -> DataFrame:
+    sweep = od.ngram_sweep(sweep_curves(spark, d), "label", "n", "x", "f", "support", 12)
+    return od.best_size(sweep, "label", "n").select("label", "n", r6("score").alias("score"), "valid")
