@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import compare as cp
 from textloom.operators import linear as ln
 from textloom.operators import ordered as od
+from textloom.operators import runs as rn
 from textloom.operators import stats as st
 from textloom.plans.p03_vectors import pairs
 from textloom.plans.p04_tables import CURVE, curve
@@ -107,3 +108,22 @@ def sweep_curves(spark: SparkSession, d: str) -> DataFrame:
 def best_ngram_size(spark: SparkSession, d: str) -> DataFrame:
     sweep = od.ngram_sweep(sweep_curves(spark, d), "label", "n", "x", "f", "support", 12)
     return od.best_size(sweep, "label", "n").select("label", "n", r6("score").alias("score"), "valid")
+
+
+EVAL = "event_type in ('view', 'click')"
+
+
+@query("w19_phase_log", f"""select user_id run, arg_max(value, event_id) filter (event_type = 'error') teacher, arg_max(value, event_id) filter (event_type = 'click') post, arg_max(value, event_id) filter ({EVAL}) latest from events group by user_id""")
+def phase_log(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a run's log: errors are the teacher's floor, clicks the anchors after noise, views the evaluations."""
+    phase = F.when(F.col("event_type") == "error", "teacher_baseline").when(F.col("event_type") == "click", "post_noise").when(F.col("event_type") == "view", "eval")
+    x = read(spark, d, "events").select(F.col("user_id").alias("run"), phase.alias("phase"), F.col("event_id").alias("step"), F.col("value").alias("ppl"))
+    return rn.recovery_table(x).select("run", "teacher", "post", F.col("final").alias("latest"))
+
+
+@query("j09_j10_series", """select event_type objective, k::int as level, row_number() over (partition by event_type order by k::int)::int place, n from
+  (select event_type, props ->> '$.k' k, count(*)::bigint n from events group by all) where k::int > 0""")
+def ordered_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Per objective its levels above 0 in numeric order; they arrive as strings."""
+    x = read(spark, d, "events").groupBy(F.col("event_type").alias("objective"), F.get_json_object("props", "$.k").cast("int").alias("level")).agg(F.count("*").alias("n"))
+    return x.where("level > 0").select("objective", "level", F.row_number().over(Window.partitionBy("objective").orderBy("level")).alias("place"), "n")
