@@ -11,6 +11,7 @@ from tests.test_queries import plain
 
 NAMES = """
 h06_entropy_by_group
+h07_rank_summary
 """.split()
 
 
