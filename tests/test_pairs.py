@@ -12,6 +12,7 @@ from tests.test_queries import plain
 NAMES = """
 h06_entropy_by_group
 h07_rank_summary
+h08_cross_entropy_bits
 """.split()
 
 
