@@ -13,6 +13,7 @@ NAMES = """
 h06_entropy_by_group
 h07_rank_summary
 h08_cross_entropy_bits
+h09_nucleus_coverage
 """.split()
 
 
