@@ -14,6 +14,7 @@ h06_entropy_by_group
 h07_rank_summary
 h08_cross_entropy_bits
 h09_nucleus_coverage
+h10_histogram
 """.split()
 
 
