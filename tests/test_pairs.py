@@ -15,6 +15,7 @@ h07_rank_summary
 h08_cross_entropy_bits
 h09_nucleus_coverage
 h10_histogram
+h14_word_mass
 """.split()
 
 
