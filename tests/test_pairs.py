@@ -16,6 +16,7 @@ h08_cross_entropy_bits
 h09_nucleus_coverage
 h10_histogram
 h14_word_mass
+h41_record_entropy
 """.split()
 
 
