@@ -17,6 +17,7 @@ h09_nucleus_coverage
 h10_histogram
 h14_word_mass
 h41_record_entropy
+j02_j03_top_k
 """.split()
 
 
