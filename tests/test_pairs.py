@@ -18,6 +18,7 @@ h10_histogram
 h14_word_mass
 h41_record_entropy
 j02_j03_top_k
+l30_softmax
 """.split()
 
 
