@@ -19,6 +19,7 @@ h14_word_mass
 h41_record_entropy
 j02_j03_top_k
 l30_softmax
+l31_l32_entropy
 """.split()
 
 
