@@ -20,6 +20,7 @@ h41_record_entropy
 j02_j03_top_k
 l30_softmax
 l31_l32_entropy
+l33_l36_divergences
 """.split()
 
 
