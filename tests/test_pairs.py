@@ -21,6 +21,7 @@ j02_j03_top_k
 l30_softmax
 l31_l32_entropy
 l33_l36_divergences
+l37_pearson
 """.split()
 
 
