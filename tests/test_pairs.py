@@ -22,6 +22,7 @@ l30_softmax
 l31_l32_entropy
 l33_l36_divergences
 l37_pearson
+l38_confidence
 """.split()
 
 
