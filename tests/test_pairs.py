@@ -23,6 +23,7 @@ l31_l32_entropy
 l33_l36_divergences
 l37_pearson
 l38_confidence
+l39_sampling
 """.split()
 
 
